@@ -23,7 +23,8 @@ UNIT = 1_000_000
 EVIDENCE_LIMIT = 12.0
 #: Bounds of a prior's weight, in documents.
 WEIGHTS = (1.0, 1e6)
-THRESHOLD = 0.5
+#: Probability of good quality below which a document is rejected: good documents are to stay.
+THRESHOLD = 0.3
 SYMBOLS = "#$%&*!|<>{}[]=_~^\\@+"
 
 
@@ -35,6 +36,7 @@ def features(text: Column) -> dict[str, Column]:
     symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
     capitals = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     stops = F.length(t) - F.length(F.translate(t, ".,", ""))
+    words = F.split(t, " ")
     bin_ = lambda x: F.least(F.floor(x), F.lit(BINS - 1)).cast("int")
     return {
         "symbols": bin_(symbols * 100 / n),
@@ -42,10 +44,11 @@ def features(text: Column) -> dict[str, Column]:
         "word_length": bin_(F.length(t) / (spaces + 1)),
         "stops": bin_(stops * 100 / n),
         "length": bin_(F.log2(n)),
+        "distinct": bin_(F.size(F.array_distinct(words)) * BINS / F.size(words)),
     }
 
 
-NAMES = ("symbols", "capitals", "word_length", "stops", "length")
+NAMES = ("symbols", "capitals", "word_length", "stops", "length", "distinct")
 
 
 def _site(source: Column, lang: Column) -> tuple[Column, Column]:
