@@ -109,6 +109,24 @@ def _with_rate(rows: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
     return joined.withColumn("x", F.concat("f", F.array(F.coalesce("rate", F.lit(prior))))).drop("__suffix", "rate", "f", "suffix")
 
 
+def _leaf(g: float, h: float) -> int:
+    return round(RATE * g / (h + L2) * UNIT)
+
+
+def _best_split(features: dict, cuts: list[list[float]], g: float, h: float):
+    """``((feature, cut), (left gradient, left curvature))`` of the highest gain; None if nothing gains."""
+    best, found = 1e-6, None
+    for k in sorted(features):
+        left_g = left_h = 0.0
+        for b, cut in enumerate(cuts[k]):
+            dg, dh = features[k].get(b, (0.0, 0.0))
+            left_g, left_h = left_g + dg, left_h + dh
+            gain = left_g**2 / (left_h + L2) + (g - left_g) ** 2 / (h - left_h + L2) - g**2 / (h + L2)
+            if left_h > 1e-3 and h - left_h > 1e-3 and gain > best + 1e-9:
+                best, found = gain, ((k, float(cut)), (left_g, left_h))
+    return found
+
+
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> Model:
     """Trees for ``labelled(url, label)``, label 1 to block.
 
@@ -136,7 +154,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
         rows_g = train_rows.select("x", "n", F.round((F.col("label") - p) * UNIT).cast("long").alias("g"), F.round(p * (1 - p) * UNIT).cast("long").alias("h"))
         splits: dict = {}
         leaves: dict = {}
-        for level in range(depth + 1):
+        for level in range(depth):
             binned = rows_g.select(_node(splits).alias("node"), F.posexplode(F.array(*[_bin(k, c) for k, c in enumerate(cuts)])).alias("feature", "bin"), "n", "g", "h")
             nodes = binned.filter((F.col("node") >= 1 << level) & (F.col("node") < 2 << level))
             # nodes * features * bins rows at most
@@ -144,23 +162,16 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
             by: dict = {}
             for r in sums:
                 by.setdefault(r["node"], {}).setdefault(r["feature"], {})[r["bin"]] = (r["g"] / UNIT, r["h"] / UNIT)
-            for node, features in by.items():
+            before = len(splits)
+            for node, features in sorted(by.items()):
                 g, h = (sum(v[i] for v in features[0].values()) for i in (0, 1))
-                leaves[node] = round(RATE * g / (h + L2) * UNIT)
-                if level == depth:
-                    continue
-                best = (1e-6, None)
-                for k in sorted(features):
-                    left_g = left_h = 0.0
-                    for b, cut in enumerate(cuts[k]):
-                        dg, dh = features[k].get(b, (0.0, 0.0))
-                        left_g, left_h = left_g + dg, left_h + dh
-                        gain = left_g**2 / (left_h + L2) + (g - left_g) ** 2 / (h - left_h + L2) - g**2 / (h + L2)
-                        if left_h > 1e-3 and h - left_h > 1e-3 and gain > best[0] + 1e-9:
-                            best = (gain, (k, float(cut)))
-                if best[1]:
-                    splits[node] = best[1]
-            if not splits:
+                if node == 1:
+                    leaves[1] = _leaf(g, h)
+                split = _best_split(features, cuts, g, h)
+                if split:
+                    splits[node], (left_g, left_h) = split
+                    leaves[2 * node], leaves[2 * node + 1] = _leaf(left_g, left_h), _leaf(g - left_g, h - left_h)
+            if len(splits) == before:
                 break
         grown.append((splits, {k: v for k, v in leaves.items() if k not in splits}))
     return Model(tuple(grown), base, rates, prior)
