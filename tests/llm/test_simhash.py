@@ -8,14 +8,30 @@ from tessera.llm import simhash
 from tessera.llm.components import components
 
 
-def plain(text):
+def plain(text, words=4, bits=64, distinct=False):
+    """The fingerprint as one number."""
     t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     if not w:
         return 0
-    s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)]
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    s = [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in (sorted(set(s)) if distinct else s)]
+    h = [sum(mixed(x, k) << 64 * k for k in range(bits // 64)) for x in h]
+    return sum(1 << b for b in range(bits) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def mixed(x, k):
+    if not k:
+        return x
+    m = (1 << 64) - 1
+    x = x + 0x9E3779B97F4A7C15 * k & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def number(words):
+    return sum(int(w) << 64 * k for k, w in enumerate(words))
 
 
 def groups(ids_fps, radius=4):
@@ -41,7 +57,9 @@ def groups(ids_fps, radius=4):
 
 def test_fingerprint_matches_plain_version(words):
     for t in [None, "", "  \n\t", "One", "one two three", "A b\x0bC d e f É é", words(50, 1), words(40_000, 2)]:
-        assert simhash.fingerprint(t) == plain(t)
+        assert number(simhash.fingerprint(t)) == plain(t)
+        if t is None or len(t) < 1000:
+            assert number(simhash.fingerprint(t, 5, 256, True)) == plain(t, 5, 256, True)
 
 
 def test_seed_is_sparks(spark):
@@ -66,7 +84,7 @@ def test_bit_sliced_comparison():
     fps = base[r.integers(0, 40, 700)]
     for _ in range(3):
         fps = fps ^ (np.uint64(1) << r.integers(0, 64, 700, np.uint64))
-    planes = simhash._planes(fps)
+    planes = simhash._planes(fps.reshape(-1, 1))
     for radius in (0, 3, 4, 7):
         for shift in (1, 5, 63, 64, 65, 130, 699):
             got = simhash.close_at(planes, np.arange(700) + shift < 700, shift, radius)
@@ -79,7 +97,7 @@ def test_hot_combinations_are_tiled(spark, monkeypatch):
     r = random.Random(5)
     fps = {(0xABCD << 40) ^ sum(1 << r.randrange(30) for _ in range(4)) for _ in range(300)}
     fps = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f, f) for f in fps], "node long, fp0 long"))).collect()}
     want = groups([(f, f) for f in fps])
     assert {(f, got.get(f, f)) for f in fps} == {(f, c) for f, _, c in want}
 
@@ -90,11 +108,11 @@ def test_near_duplicates(spark, make_docs, words):
     edited[100] = "changed"
     rows = [(5, long), (3, " ".join(edited)), (9, long), (9, long), (None, long), (8, words(300, 10)), (1, None), (2, ""), (4, " \n"), (7, "one"), (6, "ONE"), (None, "alone in the world")]
     docs = make_docs(rows)
-    got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    got = sorted(((r.doc_id, r.fp0 % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == groups([(d, plain(t)) for d, t in rows])
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    named = [d for d, _, c in groups([(d, plain(t)) for d, t in rows]) if d is not None and d == c]
+    named = [d for d, _, c in groups([(d, plain(t, 5, 256, True)) for d, t in rows], 44) if d is not None and d == c]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*set(named), None, None], key=str)
 
 
@@ -111,3 +129,24 @@ def test_components_of_chains_and_hubs(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {n: min(order) for n in order if n != min(order)} | {2000 + k: 1000 for k in range(200)} | {9001: 9000}
     assert got == want
+
+
+def test_similar_documents_are_found(spark, make_docs, words):
+    """Copies with every 60th word changed (similarity 0.85) link; those with every 12th (0.4) and others don't."""
+    rows = []
+    for i in range(60):
+        base = words(360, i).split()
+        for k, step in enumerate((0, 60, 12)):
+            rows.append((10 * i + k, " ".join(f"x{i}{k}{n}" if step and n % step == step // 2 else w for n, w in enumerate(base))))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows)).collect()}
+    assert kept >= {10 * i for i in range(60)} | {10 * i + 2 for i in range(60)}
+    assert len(kept) <= 120 + 2
+    assert simhash.radius_of(0.8, 256) == 44
+
+
+def test_bit_sliced_comparison_of_long_fingerprints():
+    r = np.random.default_rng(2)
+    fps = r.integers(0, 1 << 63, (200, 4), np.uint64)
+    fps[100:] = fps[:100] ^ (r.integers(0, 1 << 63, (100, 4), np.uint64) & r.integers(0, 1 << 63, (100, 4), np.uint64) & r.integers(0, 1 << 63, (100, 4), np.uint64))
+    got = simhash.close_at(simhash._planes(fps), np.arange(200) < 100, 100, 30).tolist()
+    assert 0 < len(got) < 100 and got == [i for i in range(100) if bin(number(fps[i]) ^ number(fps[i + 100])).count("1") <= 30]
