@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each SimHash component."""
+    """Keeps one document, that of the smallest id, of each SimHash component.
+
+    Five-word shingles and a similarity of 0.8 or more, as 256-bit fingerprints estimate it.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
