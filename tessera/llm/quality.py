@@ -78,11 +78,19 @@ def train(rows: DataFrame, labels: DataFrame) -> list[list[float]]:
     return [[round(math.log((n.get((k, b, 1), 0) + 1) / (total[1] + BINS)) - math.log((n.get((k, b, 0), 0) + 1) / (total[0] + BINS)), 6) for b in range(BINS)] for k in range(len(NAMES))] + [[round(math.log((total[1] + 1) / (total[0] + 1)), 6)]]
 
 
-def evidence(f: Column, model: list[list[float]]) -> Column:
-    """The log-odds that the features speak for, without any prior."""
+def _stored() -> list[Column]:
+    return [F.element_at("f", k + 1) for k in range(len(NAMES))]
+
+
+def evidence(bins: list[Column], model: list[list[float]]) -> Column:
+    """The log-odds that the features speak for, without any prior.
+
+    Each feature's column stands in the expression once, so that no text is
+    measured twice.
+    """
     total = F.lit(0.0)
-    for k in range(len(NAMES)):
-        total = total + F.element_at(F.lit(model[k]).cast("array<double>"), F.element_at(f, k + 1) + 1)
+    for bin_, odds in zip(bins, model):
+        total = total + F.element_at(F.lit(odds).cast("array<double>"), bin_ + 1)
     return F.greatest(F.least(total, F.lit(EVIDENCE_LIMIT)), F.lit(-EVIDENCE_LIMIT))
 
 
@@ -130,8 +138,8 @@ def _posteriors(scored: DataFrame, prior: float) -> tuple[DataFrame, float]:
     return written(joined.select(F.col("host").alias("of"), F.col("section").alias("part"), rate.alias("rate")), "posteriors"), mean
 
 
-def _probability(f: Column, rate: Column, model) -> Column:
-    odds = evidence(f, model) + F.log(rate / (1 - rate))
+def _probability(bins: list[Column], rate: Column, model) -> Column:
+    odds = evidence(bins, model) + F.log(rate / (1 - rate))
     return F.round(1 / (1 + F.exp(-odds)), 6)
 
 
@@ -141,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = written(_one_label(labels, id_col, label_col), "known")
     model = train(rows, one)
     prior = 1 / (1 + 2.718281828459045 ** -model[-1][0])
-    guess = F.round(1 / (1 + F.exp(-(evidence(F.col("f"), model) + F.lit(model[-1][0])))) * UNIT).cast("long")
+    guess = F.round(1 / (1 + F.exp(-(evidence(_stored(), model) + F.lit(model[-1][0])))) * UNIT).cast("long")
     known = rows.join(one.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
     scored = known.select("host", "section", F.coalesce(F.col("label") * UNIT, guess).cast("long").alias("y"))
     sites, mean = _posteriors(scored, prior)
@@ -162,8 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model, sites, mean, rows = fit(docs, labels, id_col, text_col, source_col, lang_col, label_col)
     judged = rows.join(sites, (F.col("host") == F.col("of")) & (F.col("section") == F.col("part")), "left")
     rate = F.coalesce("rate", F.lit(mean))
-    p = _probability(F.col("f"), rate, model)
-    return judged.select("doc_id", "host", "section", _probability(F.col("f"), F.lit(mean), model).alias("p_doc"), F.round(rate, 6).alias("site_rate"), p.alias("p_good"), (p >= threshold).alias("keep"))
+    p = _probability(_stored(), rate, model)
+    return judged.select("doc_id", "host", "section", _probability(_stored(), F.lit(mean), model).alias("p_doc"), F.round(rate, 6).alias("site_rate"), p.alias("p_good"), (p >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -176,5 +184,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     host, section = _site(F.col(source_col), F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string"))
     both = docs.join(named, (host == F.col("__host")) & (section == F.col("__section")), "left")
     f = features(F.col(text_col))
-    p = _probability(F.array(*[f[k] for k in NAMES]), F.coalesce("__rate", F.lit(mean)), model)
+    p = _probability([f[k] for k in NAMES], F.coalesce("__rate", F.lit(mean)), model)
     return both.filter(p >= threshold).select(*[F.col(c) for c in docs.columns])
