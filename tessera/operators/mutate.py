@@ -59,5 +59,5 @@ def checked(cells: DataFrame, schema: Schema) -> DataFrame:
     sound = row.isNotNull() & (row != "") & ~F.contains(row, F.lit("\0")) & fid.isNotNull()
     value = F.col("value").cast("binary")
     refused = F.raise_error(F.concat(F.lit("bad key: "), F.coalesce(row, F.lit("null")), F.lit(" "), cf))
-    columns = {"row": F.when(sound, row).otherwise(refused), "cf": cf, "cf_id": fid, "cq": get("cq", F.lit("")), "ts": F.col("ts") if "ts" in have else F.lit(None), "rev": F.lit(None), "flag": flag, "value": F.when(flag == INSERT, value)}
+    columns = {"row": row, "cf": cf, "cf_id": F.when(sound, fid).otherwise(refused.cast("int")), "cq": get("cq", F.lit("")), "ts": F.col("ts") if "ts" in have else F.lit(None), "rev": F.lit(None), "flag": flag, "value": F.when(flag == INSERT, value)}
     return cells.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in CELL_SCHEMA])

@@ -7,24 +7,14 @@ from pyspark.sql import functions as F
 
 
 def fact_cells(topics: DataFrame, category: str, key: str = "id", name: str = "name") -> DataFrame:
-    """Cells ``(row, cf, cq, ts, value)`` of topics: their name, their category, and a property for each other column.
+    """Cells ``(row, cf, cq, ts, value)`` of topics.
 
-    Comma-separated property values make a cell each, numbered in the qualifier from
-    the second on.
+    Each topic has its name, the dump's category, and a property, qualified by the
+    column, for each other field; empty and null fields make no cell.  Topics without
+    a key are left out.
     """
-    rest = [c for c in topics.columns if c not in (key, name)]
-    one = lambda cf, cq, value: F.struct(F.lit(cf).alias("cf"), cq.alias("cq"), value.alias("value"))
-    parts = [F.array(one("name", F.lit(""), F.col(name).cast("string")), one("category", F.lit(category), F.lit("1")))]
-    for c in rest:
-        values = F.split(F.col(c).cast("string"), ",")
-        label = lambda k, c=c: F.when(k == 0, F.lit(c)).otherwise(F.concat(F.lit(f"{c}."), k.cast("string")))
-        parts.append(F.coalesce(F.transform(values, _numbered(one, label)), F.array().cast("array<struct<cf:string,cq:string,value:string>>")))
-    long = topics.select(F.col(key).cast("string").alias("row"), F.explode(F.concat(*parts)).alias("c"))
+    cell = lambda cf, cq, value: F.struct(F.lit(cf).alias("cf"), F.lit(cq).alias("cq"), value.cast("string").alias("value"))
+    properties = [cell("property", c, F.col(c)) for c in topics.columns if c not in (key, name)]
+    parts = F.array(cell("name", "", F.col(name)), cell("category", "", F.lit(category)), *properties)
+    long = topics.select(F.col(key).cast("string").alias("row"), F.explode(parts).alias("c"))
     return long.filter((F.col("row") != "") & (F.col("c.value") != "")).select("row", "c.cf", "c.cq", F.lit(None).cast("long").alias("ts"), "c.value")
-
-
-def _numbered(one, label):
-    def each(value, k):
-        return one("property", label(k), value)
-
-    return each
