@@ -7,6 +7,7 @@ column.  L: line items, a cell a measure.  D: documents.  C: conversations.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,8 +384,7 @@ def stored(spark, d) -> DataFrame:
     from tessera.session import Session
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    s = Session(spark, f"{shared}/store-{id(object())}-{spark.sparkContext.applicationId}", clock=lambda: NOW)
-    s.execute("DROP TABLE IF EXISTS events")
+    s = Session(spark, f"{shared}/store-{uuid.uuid4().hex}", clock=lambda: NOW)
     s.execute("CREATE TABLE MAX_VERSIONS=2 events (click, error, ACCESS GROUP slow BLOOMFILTER='rows' (purchase, signup), purchase, signup)")
     s.execute("ALTER TABLE events ADD (view MAX_VERSIONS=2) DROP (error)")
     found = events(spark, d).cells().filter("cf <> 'error'").select("row", "cf", "cq", "ts", "value")

@@ -47,8 +47,10 @@ def qualifier_of(column: Column) -> Column:
 
 
 def nanos_of(stamp: Column) -> Column:
-    """Nanoseconds of a timestamp column, with or without a zone; the session's zone should be UTC."""
-    return F.unix_micros(stamp.cast("timestamp")) * 1000
+    """Nanoseconds of a timestamp column; one without a zone is taken as UTC, whatever the session's zone."""
+    moment = stamp.cast("timestamp")
+    as_utc = F.when(F.typeof(stamp) == "timestamp_ntz", F.from_utc_timestamp(moment, F.current_timezone())).otherwise(moment)
+    return F.unix_micros(as_utc) * 1000
 
 
 def render_nanos(ts: Column) -> Column:
