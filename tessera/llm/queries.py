@@ -110,5 +110,69 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+_K, _U = len(quality.NAMES), float(quality.UNIT)
+_LEAST, _MOST = quality.WEIGHTS
+
+
+def _weight_sql(groups: str, parent: str) -> str:
+    """Documents that a prior is worth, as a query of one number."""
+    rate = f"s / {_U} / n"
+    return f"""SELECT CASE WHEN g < 2 OR free <= 0 OR (q - v) / {_U} / free <= 0 THEN {_MOST}
+      ELSE least(greatest(round(nv / {_U} / total / ((q - v) / {_U} / free) - 1, 6), {_LEAST}), {_MOST}) END FROM (
+      SELECT sum(CAST(round(n * ({rate} - {parent}) * ({rate} - {parent}) * {_U}) AS BIGINT)) AS q,
+        sum(CAST(round({parent} * (1 - {parent}) * {_U}) AS BIGINT)) AS v,
+        sum(CAST(round({parent} * (1 - {parent}) * n * {_U}) AS BIGINT)) AS nv,
+        sum(n) AS total, sum(n) - sum(n * n) / sum(n) AS free, count(*) AS g FROM {groups})"""
+
+
+_SOURCE = "coalesce(source, '')"
+_gone = lambda chars: f"(length(t) - length(translate(t, {chars}, '')))"
+_bin = lambda x: f"CAST(least(floor({x}), {quality.BINS - 1}) AS INTEGER)"
+_p = lambda rate: f"round(1 / (1 + exp(-(ev + ln({rate} / (1 - {rate}))))), 6)"
+OP5 = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, split_part({_SOURCE}, '/', 1) AS host,
+    CASE WHEN contains({_SOURCE}, '/') THEN split_part({_SOURCE}, '/', 2) ELSE coalesce(lang, '') END AS section,
+    greatest(length(coalesce(text, '')), 1) AS n, string_split(coalesce(text, ''), ' ') AS words FROM documents
+), f AS (
+  SELECT doc_id, host, section, [
+    {_bin(f"{_gone(f"'{quality.SYMBOLS}'")} * 100 / n")},
+    {_bin(f"{_gone("'ABCDEFGHIJKLMNOPQRSTUVWXYZ'")} * 100 / n / 2")},
+    {_bin(f"length(t) / ({_gone("' ' || chr(10)")} + 1)")},
+    {_bin(f"{_gone("'.,'")} * 100 / n")},
+    {_bin("ln(n) / ln(2)")},
+    {_bin(f"len(list_distinct(words)) * {quality.BINS} / len(words)")}] AS f FROM t
+), known AS (
+  SELECT doc_id, min(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id
+), trained AS (SELECT f.f, known.label FROM f JOIN known ON f.doc_id = known.doc_id),
+total AS (SELECT count(*) FILTER (WHERE label = 1) AS good, count(*) FILTER (WHERE label = 0) AS bad FROM trained),
+counts AS (
+  SELECT k, f[k] AS bin, count(*) FILTER (WHERE label = 1) AS good, count(*) FILTER (WHERE label = 0) AS bad
+  FROM trained, (SELECT unnest(range(1, {_K + 1})) AS k) GROUP BY k, f[k]
+), grid AS (SELECT k, b FROM (SELECT unnest(range(1, {_K + 1})) AS k) CROSS JOIN (SELECT unnest(range(0, {quality.BINS})) AS b)),
+odds AS (
+  SELECT grid.k, list(round(ln((coalesce(c.good, 0) + 1) / (total.good + {quality.BINS})) - ln((coalesce(c.bad, 0) + 1) / (total.bad + {quality.BINS})), 6) ORDER BY grid.b) AS o
+  FROM grid CROSS JOIN total LEFT JOIN counts c ON c.k = grid.k AND c.bin = grid.b GROUP BY grid.k
+), ev AS (
+  SELECT doc_id, host, section, greatest(least(0.0::DOUBLE + {" + ".join(f"(SELECT o FROM odds WHERE k = {k})[f[{k}] + 1]" for k in range(1, _K + 1))}, {quality.EVIDENCE_LIMIT}), -{quality.EVIDENCE_LIMIT}) AS ev,
+    (SELECT round(ln((good + 1) / (bad + 1)), 6) FROM total) AS prior FROM f
+), cells AS (
+  SELECT host, section, sum(coalesce(label * {quality.UNIT}, CAST(round(1 / (1 + exp(-(ev + prior))) * {_U}) AS BIGINT))) AS s, count(*) AS n
+  FROM ev LEFT JOIN known USING (doc_id) GROUP BY host, section
+), mean AS (SELECT least(greatest(sum(s) / {_U} / sum(n), 1e-6), 1 - 1e-6) AS mean FROM cells),
+hosts AS (SELECT host, sum(s) AS s, sum(n) AS n, any_value(mean) AS mean FROM cells, mean GROUP BY host),
+m1 AS ({_weight_sql("hosts", "mean")}),
+host_rates AS (SELECT host, (s / {_U} + (FROM m1) * mean) / (n + (FROM m1)) AS host_rate, mean FROM hosts),
+sections AS (SELECT host, section, s, n, host_rate, mean FROM cells JOIN host_rates USING (host)),
+m2 AS ({_weight_sql("sections", "host_rate")}),
+rates AS (
+  SELECT host, section, mean, greatest(least((s / {_U} + (FROM m2) * host_rate) / (n + (FROM m2)), 1 - 1e-6), 1e-6) AS rate FROM sections
+)
+SELECT doc_id, host, section, {_p("mean")} AS p_doc, round(rate, 6) AS site_rate, {_p("rate")} AS p_good,
+  {_p("rate")} >= {quality.THRESHOLD} AS keep
+FROM ev JOIN rates USING (host, section)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3, "op4_warc": OP4, "op8_line_dedup": OP8}
+    return {"op3_embedding_dedup": OP3, "op4_warc": OP4, "op5_quality": OP5, "op8_line_dedup": OP8}
