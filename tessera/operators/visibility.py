@@ -35,14 +35,18 @@ def unexpired(cells: DataFrame, families: list[Family], now_ns: int | None) -> D
     return cells.filter(F.coalesce(F.col("ts") >= floor, F.lit(True)))
 
 
-def undeleted(cells: DataFrame, few_markers: bool = False, keep_markers: bool = False) -> DataFrame:
+def undeleted(cells: DataFrame, few_markers: bool = False, keep_markers: bool = False, wide_rows: bool = False) -> DataFrame:
     """Without cells that a marker hides, and without markers unless they are kept.
 
     A marker at T hides what is older than T in its row, family or cell; of several
     in a scope the newest counts.  Few markers are grouped into three tables of
-    thresholds and broadcast; otherwise one shuffle by row serves all three windows.
+    thresholds and broadcast.  Otherwise one shuffle by row serves all three windows,
+    or, where rows may be too wide for a task, three joins with the thresholds, whose
+    cell side adaptive execution can split.
     """
-    return _by_broadcast(cells, keep_markers) if few_markers else _by_windows(cells, keep_markers)
+    if few_markers or wide_rows:
+        return _by_joins(cells, keep_markers, F.broadcast if few_markers else lambda limits: limits)
+    return _by_windows(cells, keep_markers)
 
 
 def _by_windows(cells: DataFrame, keep_markers: bool) -> DataFrame:
@@ -60,7 +64,7 @@ def _by_windows(cells: DataFrame, keep_markers: bool) -> DataFrame:
     return out.filter(kept).drop(*limits)
 
 
-def _by_broadcast(cells: DataFrame, keep_markers: bool) -> DataFrame:
+def _by_joins(cells: DataFrame, keep_markers: bool, hint) -> DataFrame:
     markers = cells.filter(F.col("flag") != INSERT)
     out = cells if keep_markers else cells.filter(F.col("flag") == INSERT)
     hidden = F.lit(False)
@@ -71,7 +75,7 @@ def _by_broadcast(cells: DataFrame, keep_markers: bool) -> DataFrame:
         on = same[0]
         for s in same[1:]:
             on = on & s
-        out = out.join(F.broadcast(limits), on, "left").drop(*[f"{t}_{k}" for k in keys])
+        out = out.join(hint(limits), on, "left").drop(*[f"{t}_{k}" for k in keys])
         hidden = hidden | F.coalesce(F.col("ts") < F.col(t), F.lit(False))
     if keep_markers:
         hidden = hidden & (F.col("flag") == INSERT)

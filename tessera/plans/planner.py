@@ -77,7 +77,7 @@ def _cell_rows(c: CellInterval) -> RowInterval:
 
 def overlap(intervals: list[RowInterval]) -> bool:
     """Whether a row may lie in two of them (a shared bound counts, even if exclusive)."""
-    hulls = sorted(i.hull() for i in intervals)
+    hulls = sorted((i.hull() for i in intervals), key=lambda h: h[0])
     for (_, high), (low, _) in zip(hulls, hulls[1:]):
         if high is None or low <= high:
             return True
@@ -128,13 +128,13 @@ def with_intervals(cells: DataFrame, spec: ScanSpec, family_id) -> DataFrame:
     return cells.filter(reduce(Column.__or__, predicates)).withColumn("ord", F.explode(hits))
 
 
-def scan(cells: DataFrame, schema: Schema, spec: ScanSpec = ScanSpec(), now_ns: int | None = None, has_deletes: bool = True, has_versions: bool = True, few_markers: bool = False) -> DataFrame:
+def scan(cells: DataFrame, schema: Schema, spec: ScanSpec = ScanSpec(), now_ns: int | None = None, has_deletes: bool = True, has_versions: bool = True, few_markers: bool = False, wide_rows: bool = False) -> DataFrame:
     """What ``spec`` sees of ``cells``: the columns of cells and ``ord``.
 
     ``now_ns`` is the clock for TTLs, needed if a family has one.  Without deletes
     or further versions among ``cells`` their stages may be left out by the flags;
     ``few_markers`` says that all markers may be broadcast (callers know their
-    number from the manifest).
+    number from the manifest), ``wide_rows`` that one row may be too much for a task.
     """
 
     def family_id(name: str) -> int:
@@ -154,7 +154,7 @@ def scan(cells: DataFrame, schema: Schema, spec: ScanSpec = ScanSpec(), now_ns:
     out = out.filter(F.col("cf_id").isin([f.id for f in wanted]) | (F.col("flag") == 0) if has_deletes else F.col("cf_id").isin([f.id for f in wanted]))
     out = visibility.unexpired(out, wanted, now_ns)
     if has_deletes:
-        out = visibility.undeleted(out, few_markers, spec.return_deletes)
+        out = visibility.undeleted(out, few_markers, spec.return_deletes, wide_rows)
     if spec.rows or spec.cells:
         if spec.return_deletes and spec.cells:
             # row and family markers belong to every cell interval of their row

@@ -107,10 +107,11 @@ class Manifest:
     segments: tuple[Segment, ...] = ()
     next_rev: int = 1
     last_ts: int = 0
+    batches: dict[str, int] = field(default_factory=dict)  # of each stream, the last batch committed
 
     @staticmethod
     def of(data: dict) -> Manifest:
-        return Manifest(tuple(Segment(**{**s, "groups": tuple(s["groups"])}) for s in data["segments"]), data["next_rev"], data["last_ts"])
+        return Manifest(tuple(Segment(**{**s, "groups": tuple(s["groups"])}) for s in data["segments"]), data["next_rev"], data["last_ts"], data["batches"])
 
 
 @dataclass
@@ -132,15 +133,20 @@ class Table:
 
     # -- writing
 
-    def append(self, cells: DataFrame, stamp: bool = False) -> Segment | None:
+    def append(self, cells: DataFrame, stamp: bool = False, batch: tuple[str, int] | None = None) -> Segment | None:
         """Commit ``cells``; with ``stamp``, ``rev`` and where it is null ``ts`` are given here.
 
+        ``batch``: a stream's name and the number of its batch; one that was committed
+        before is left out.
+
         Revisions follow those of earlier commits and, within this one, the order of
         partitions and rows.  An automatic timestamp is the clock's, never before an
         earlier one.
         """
         seen, data = self._versions.load()
         now = Manifest.of(data)
+        if batch and batch[1] <= now.batches.get(batch[0], -1):
+            return None
         base = max(self.store.clock(), now.last_ts + 1)
         if stamp:
             number = F.monotonically_increasing_id()
@@ -150,7 +156,7 @@ class Table:
         if segment is None:
             return None
         # automatic times begin at the clock's or after the last commit's; explicit ones don't move it
-        new = Manifest((*now.segments, segment), max(now.next_rev, segment.max_rev + 1), base + segment.cells if stamp else now.last_ts)
+        new = Manifest((*now.segments, segment), max(now.next_rev, segment.max_rev + 1), base + segment.cells if stamp else now.last_ts, now.batches | (dict([batch]) if batch else {}))
         try:
             self._versions.commit(seen, asdict(new))
         except Conflict:
@@ -206,8 +212,11 @@ class Table:
             return spark.createDataFrame([], CELL_SCHEMA)
         return spark.read.schema(CELL_SCHEMA).parquet(*paths)
 
-    def scan(self, spec: ScanSpec = ScanSpec(), now_ns: int | None = None) -> DataFrame:
-        """What ``spec`` sees now.  Segments and groups that can't matter aren't opened."""
+    def scan(self, spec: ScanSpec = ScanSpec(), now_ns: int | None = None, wide_rows: bool = False) -> DataFrame:
+        """What ``spec`` sees now.  Segments and groups that can't matter aren't opened.
+
+        ``wide_rows``: a row may hold more cells than a task should take.
+        """
         manifest = self.manifest()
         hulls = [r.hull() for r in spec.rows] or [planner._cell_rows(c).hull() for c in spec.cells]
         near = lambda s: not hulls or any((high is None or s.min_row.encode() <= high) and s.max_row.encode() >= low for low, high in hulls)
@@ -215,7 +224,7 @@ class Table:
         names = [n for n in (spec.families or [f.name for f in self.schema.live()]) if self.schema.family(n)]
         groups = {self.schema.group_of(n) for n in names}
         markers = sum(s.markers for s in segments)
-        return planner.scan(self.cells(segments, groups), self.schema, spec, self.store.clock() if now_ns is None else now_ns, has_deletes=markers > 0, few_markers=markers <= FEW_MARKERS)
+        return planner.scan(self.cells(segments, groups), self.schema, spec, self.store.clock() if now_ns is None else now_ns, has_deletes=markers > 0, few_markers=markers <= FEW_MARKERS, wide_rows=wide_rows)
 
     # -- maintenance
 

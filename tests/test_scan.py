@@ -75,10 +75,10 @@ specs = st.builds(
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
-@given(spec=specs, seed=st.integers(0, 3), few=st.booleans())
-def test_any_scan_against_the_plain_version(tables, spec, seed, few):
+@given(spec=specs, seed=st.integers(0, 3), how=st.sampled_from(["few_markers", "wide_rows", "has_deletes"]))
+def test_any_scan_against_the_plain_version(tables, spec, seed, how):
     cells, df = tables(seed)
-    assert rows_of(scan(df, SCHEMA, spec, NOW, few_markers=few)) == expected(plain(cells, SCHEMA, spec, NOW))
+    assert rows_of(scan(df, SCHEMA, spec, NOW, **{how: True})) == expected(plain(cells, SCHEMA, spec, NOW))
 
 
 @pytest.mark.parametrize("few", [True, False])
@@ -139,3 +139,8 @@ def test_plans(spark, tmp_path, tables):
         assert "Join" not in bare and "Exchange" not in bare
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_equal_lower_bounds_overlap():
+    assert planner.overlap([RowInterval("a"), RowInterval("a", True, "b", True)]) and planner.overlap([RowInterval(), RowInterval()])
+    assert not planner.overlap([RowInterval("c"), RowInterval("a", True, "b", True), RowInterval(prefix="bb")])

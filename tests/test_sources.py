@@ -7,6 +7,7 @@ from tessera import functions as fn
 from tessera.dialect.statements import LoadOptions
 from tessera.errors import ParseError
 from tessera.model import Family, Schema
+from tessera.operators import mutate
 from tessera.sources import facts, generator, sink, tsv, weblog
 from tessera.storage import Store
 
@@ -109,5 +110,7 @@ def test_streaming(spark, tmp_path):
         q = ingest(stream, t, f"{tmp_path}/check").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert q.exception() is None
-    assert len(t.manifest().segments) == 2
+    assert len(t.manifest().segments) == 2 and list(t.manifest().batches.values()) == [1]
+    again = spark.createDataFrame([("r9", "c", "v")], "row string, cf string, value string")
+    assert t.append(mutate.checked(again, t.schema), stamp=True, batch=(f"{tmp_path}/check", 1)) is None
     assert sorted((c.row, bytes(c.value).decode()) for c in t.scan().collect()) == [("both", "v0"), ("both", "v1"), ("r0", "v0"), ("r1", "v1")]
