@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from ..errors import BadScan
 from ..model import split_column
@@ -102,6 +102,58 @@ class ScanSpec:
             family_id(name)
 
 
+class ScanBuilder:
+    """Puts a :class:`ScanSpec` together call by call; each call returns the builder."""
+
+    def __init__(self, spec: ScanSpec = ScanSpec()):
+        self._spec = spec
+
+    def _with(self, **changes) -> ScanBuilder:
+        self._spec = replace(self._spec, **changes)
+        return self
+
+    def add_column(self, family: str) -> ScanBuilder:
+        return self._with(families=(*self._spec.families, family))
+
+    def add_row(self, row: str) -> ScanBuilder:
+        return self.add_row_interval(row, True, row, True)
+
+    def add_row_interval(self, start: str | None = None, start_inclusive: bool = True, end: str | None = None, end_inclusive: bool = True) -> ScanBuilder:
+        return self._with(rows=(*self._spec.rows, RowInterval(start, start_inclusive, end, end_inclusive)))
+
+    def add_cell(self, row: str, column: str) -> ScanBuilder:
+        return self.add_cell_interval((row, column), True, (row, column), True)
+
+    def add_cell_interval(self, start: tuple[str, str] | None = None, start_inclusive: bool = True, end: tuple[str, str] | None = None, end_inclusive: bool = True) -> ScanBuilder:
+        return self._with(cells=(*self._spec.cells, CellInterval(start, start_inclusive, end, end_inclusive)))
+
+    def set_time_interval(self, start: int | None, end: int | None) -> ScanBuilder:
+        return self._with(time=(start, end))
+
+    def set_start_time(self, start: int | None) -> ScanBuilder:
+        return self._with(time=(start, self._spec.time[1]))
+
+    def set_end_time(self, end: int | None) -> ScanBuilder:
+        return self._with(time=(self._spec.time[0], end))
+
+    def set_max_versions(self, n: int) -> ScanBuilder:
+        return self._with(revs=n)
+
+    def set_row_limit(self, n: int) -> ScanBuilder:
+        return self._with(limit=n)
+
+    def set_keys_only(self, on: bool = True) -> ScanBuilder:
+        return self._with(keys_only=on)
+
+    def set_return_deletes(self, on: bool = True) -> ScanBuilder:
+        return self._with(return_deletes=on)
+
+    def get(self) -> ScanSpec:
+        """The specification; fails if row and cell predicates are mixed or an interval is empty."""
+        self._spec.check()
+        return self._spec
+
+
 def _bounds(op: str, value, mirrored: bool, low, high):
     """``(start, inclusive)`` or ``(end, inclusive)`` that ``op value`` sets; mirrored: ``value op``."""
     if mirrored:

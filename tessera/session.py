@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .dialect import parse, split_statements
 from .dialect import statements as st
-from .errors import BadScan
-from .model import Family, Group, Schema
+from .errors import BadKey, BadScan
+from .model import DELETE_CELL, DELETE_FAMILY, DELETE_ROW, INSERT, Family, Group, Schema
 from .operators import mutate
 from .plans import CellInterval, RowInterval, ScanSpec
 from .plans.planner import in_order
@@ -56,11 +56,13 @@ class Session:
     #: Cells that a cursor gives at once.
     CHUNK = 100
 
-    def __init__(self, spark: SparkSession, root: str, clock=None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str, clock=None, raw_timestamps: bool = False):
+        """``raw_timestamps``: reads display times as numbers of nanoseconds."""
+        self.spark, self.raw_timestamps = spark, raw_timestamps
         self.store = Store(spark, root, clock) if clock else Store(spark, root)
-        self._cursors: dict[int, Iterator] = {}
-        self._next_cursor = 0
+        self._cursors: dict[int, Cursor] = {}
+        self._mutators: dict[int, Mutator] = {}
+        self._next_cursor = self._next_mutator = 0
 
     # -- statements
 
@@ -74,7 +76,7 @@ class Session:
 
     def _Select(self, s: st.Select) -> Result:
         cells = self.scan(s.table, s.spec)
-        lines = sink.rendered(cells, s.display_timestamps, s.spec.keys_only, s.escape)
+        lines = sink.rendered(cells, s.display_timestamps, s.spec.keys_only, s.escape, self.raw_timestamps)
         if s.into:
             sink.write_lines(lines, s.into, sink.header(s.display_timestamps, s.spec.keys_only))
             return Result(cells=cells)
@@ -178,6 +180,14 @@ class Session:
         """``schema``: a Schema, or its XML form."""
         return self.store.create(name, Schema.from_xml(schema) if isinstance(schema, str) else schema)
 
+    def open_table(self, name: str) -> Table:
+        """The table with its schema of now; opening it again refreshes that."""
+        return self.store.table(name)
+
+    def alter_table(self, name: str, schema: Schema | str) -> Table:
+        """Follow the schema by ``schema``, of the next generation: a Schema that ``alter`` made, or its XML form."""
+        return self.store.alter(name, Schema.from_xml(schema) if isinstance(schema, str) else schema)
+
     def drop_table(self, name: str, if_exists: bool = False) -> bool:
         return self.store.drop(name, if_exists)
 
@@ -220,24 +230,28 @@ class Session:
         for row, group in groupby(in_order(cells).toLocalIterator(), key=lambda c: c.row):
             yield row, list(group)
 
+    def next_row(self, scanner: int | None = None) -> list:
+        """The cells of the scanner's next row, or of what blocks left of it; empty at the end."""
+        return self._cursor(scanner).row()
+
     def as_arrays(self, cells: list) -> list[tuple[str, ...]]:
         """Cells as five strings: row, family, qualifier, value, time."""
         return [(c.row, c.cf, c.cq, (c.value or b"").decode(), str(c.ts)) for c in cells]
 
     def open_scanner(self, cells: DataFrame, n: int = CHUNK) -> int:
         self._next_cursor += 1
-        self._cursors[self._next_cursor] = self.iter_cells(cells, n)
+        self._cursors[self._next_cursor] = Cursor(in_order(cells).toLocalIterator(), n)
         return self._next_cursor
 
     def next_cells(self, scanner: int | None = None) -> list:
         """The next block, empty at the end; of the scanner opened last by default."""
-        return next(self._cursor(scanner), [])
+        return self._cursor(scanner).block()
 
     def close_scanner(self, scanner: int | None = None) -> None:
         self._cursor(scanner)
         del self._cursors[self._next_cursor if scanner is None else scanner]
 
-    def _cursor(self, scanner: int | None) -> Iterator:
+    def _cursor(self, scanner: int | None) -> Cursor:
         key = self._next_cursor if scanner is None else scanner
         if key not in self._cursors:
             raise BadScan(f"no scanner {key}")
@@ -267,6 +281,56 @@ class Session:
         m.flush()
 
 
+    def open_mutator(self, name: str, flush_cells: int = 10_000) -> int:
+        """A mutator that is named by a number, for callers that can't hold one; close it."""
+        self._next_mutator += 1
+        self._mutators[self._next_mutator] = Mutator(self, name, flush_cells)
+        return self._next_mutator
+
+    def set_cell(self, mutator: int, cell: tuple) -> None:
+        self.set_cells(mutator, [cell])
+
+    def set_cells(self, mutator: int, cells: list[tuple]) -> None:
+        """Cells in array form; see :meth:`Mutator.set_cells`."""
+        self._mutator(mutator).set_cells(cells)
+
+    def flush_mutator(self, mutator: int) -> None:
+        self._mutator(mutator).flush()
+
+    def close_mutator(self, mutator: int, flush: bool = True) -> None:
+        """Forget the mutator; without ``flush`` what it holds is lost."""
+        held = self._mutator(mutator)
+        del self._mutators[mutator]
+        if flush:
+            held.flush()
+
+    def _mutator(self, mutator: int) -> Mutator:
+        if mutator not in self._mutators:
+            raise BadKey(f"no mutator {mutator}")
+        return self._mutators[mutator]
+
+
+class Cursor:
+    """A place in an ordered scan; one partition at a time is on the driver."""
+
+    def __init__(self, cells: Iterator, n: int):
+        self.cells, self.n, self.ahead = iter(cells), n, []
+
+    def block(self) -> list:
+        held, self.ahead = self.ahead, []
+        return held + list(islice(self.cells, self.n - len(held)))
+
+    def row(self) -> list:
+        found = self.ahead or list(islice(self.cells, 1))
+        self.ahead = []
+        for c in self.cells if found else ():
+            if c.row != found[0].row:
+                self.ahead = [c]  # the next row's first
+                break
+            found.append(c)
+        return found
+
+
 class Mutator:
     def __init__(self, session: Session, name: str, flush_cells: int):
         self.session, self.name, self.size = session, name, flush_cells
@@ -279,14 +343,27 @@ class Mutator:
         self._hold(mutate.marker(self.schema, row, column, ts))
 
     def set_cells(self, cells: list[tuple]) -> None:
-        """Array form: ``(row[, family[, qualifier[, value[, time]]]])`` as strings; no family makes a row marker."""
-        for row, *rest in cells:
-            family, qualifier, value, ts = (*rest, *[None] * (4 - len(rest)))
+        """Array form: ``(row[, family[, qualifier[, value[, time[, revision[, flag]]]]]])`` as strings.
+
+        No family makes a row marker.  Revisions are given at the commit, so one that
+        is named is passed over; a flag other than that of inserts makes a marker.
+        """
+        for cell in cells:
+            if not 1 <= len(cell) <= 7:
+                raise BadKey(f"a cell has 1 to 7 parts, not {len(cell)}")
+            row, family, qualifier, value, ts, _, flag = (*cell, *[None] * (7 - len(cell)))
             at = None if ts in (None, "") else int(ts)
-            if not family:
+            kind = INSERT if flag in (None, "") else int(flag)
+            if not family or kind == DELETE_ROW:
                 self.set_delete(row, None, at)
-            else:
+            elif kind == DELETE_FAMILY:
+                self.set_delete(row, family, at)
+            elif kind == DELETE_CELL:
+                self.set_delete(row, f"{family}:{qualifier or ''}", at)
+            elif kind == INSERT:
                 self.set(row, family + (f":{qualifier}" if qualifier else ""), value or "", at)
+            else:
+                raise BadKey(f"no such flag: {kind}")
 
     def _hold(self, cell: tuple) -> None:
         self.held.append(cell)

@@ -1,4 +1,9 @@
-"""``python -m tessera.shell ROOT``: statements from the terminal or a pipe."""
+"""``python -m tessera.shell ROOT``: statements from the terminal or a pipe.
+
+Options: ``--batch`` (read standard input to its end), ``--no-prompt``, ``--test-mode``
+(repeat statements, no times), ``--timestamp-format=usecs`` (times as plain numbers,
+which are nanoseconds whatever the option's name says).
+"""
 
 from __future__ import annotations
 
@@ -65,16 +70,17 @@ class Shell:
 def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
 
-    batch, test = "--batch" in args, "--test-mode" in args
+    batch, test, silent = "--batch" in args, "--test-mode" in args, "--no-prompt" in args
     root = next((a for a in args if not a.startswith("--")), "tessera-store")
-    shell = Shell(Session(SparkSession.builder.getOrCreate(), root), test_mode=test)
+    raw = "--timestamp-format=usecs" in args
+    shell = Shell(Session(SparkSession.builder.getOrCreate(), root, raw_timestamps=raw), test_mode=test)
     if batch or not sys.stdin.isatty():
         shell.run(sys.stdin.read())
         return 0
     held = ""
     while True:
         try:
-            held += input("tessera> " if not held else "    ...> ") + "\n"
+            held += input("" if silent else "tessera> " if not held else "    ...> ") + "\n"
         except EOFError:
             return 0
         if held.strip().endswith(";") or held.strip() in ("quit", "exit"):

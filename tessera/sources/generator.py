@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import render_nanos
 
+#: The text that values are taken from is part of the plan, so its size is checked.
+SOURCE_BYTES = 1 << 20
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -31,6 +33,7 @@ class ColumnSpec:
     qualifier_size: int = 0
     value_size: int = 15
     charset: str = LETTERS
+    source: str | None = None  # a text file that values are taken from, of at most SOURCE_BYTES
 
 
 def _uniform(seed: int, *salt) -> Column:
@@ -47,6 +50,16 @@ def _text(size: int, charset: str, seed: int, salt: int) -> Column:
     return F.array_join(pairs, "")
 
 
+def _source(spark: SparkSession, path: str, size: int) -> list[str]:
+    """The file's text in runs of ``size`` characters, round its end."""
+    found = spark.read.format("binaryFile").load(path).select("length", "path")
+    if (held := found.agg(F.sum("length")).first()[0] or 0) > SOURCE_BYTES or not held:
+        raise ValueError(f"a source of values has 1 to {SOURCE_BYTES} bytes, this one {held}")
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    text += text * -(-size // len(text))
+    return [text[k : k + size] for k in range(0, len(text) - size, max(1, size))]
+
+
 def _part(p: Part, k: int, seed: int) -> Column:
     span = p.high - p.low + 1
     if p.order == "ascending":
@@ -61,9 +74,19 @@ def _part(p: Part, k: int, seed: int) -> Column:
 
 
 def generate(spark: SparkSession, row: list[Part], columns: list[ColumnSpec], max_bytes: int, seed: int = 1, partitions: int | None = None) -> DataFrame:
-    """Cells ``(row, cf, cq, value)`` of about ``max_bytes`` keys and values, the same for a seed."""
+    """Cells ``(row, cf, cq, value)`` of about ``max_bytes`` keys and values, the same for a seed.
+
+    A value is ``value_size`` random characters, or as many of the column's ``source``.
+    """
+
+    def value(c: ColumnSpec, k: int) -> Column:
+        if c.source is None or not c.value_size:
+            return _text(c.value_size, c.charset, seed, 2 * k + 1)
+        runs = _source(spark, c.source, c.value_size)
+        return F.element_at(F.lit(runs), (F.floor(_uniform(seed, 2 * k + 1) * len(runs)) + 1).cast("int"))
+
     per_row = sum(c.value_size + c.qualifier_size + len(c.family) for c in columns) + 16 * len(row)
     rows = spark.range(max(1, max_bytes // per_row)) if partitions is None else spark.range(0, max(1, max_bytes // per_row), 1, partitions)
     key = F.concat_ws("", *[_part(p, k, seed) for k, p in enumerate(row)])
-    parts = F.array(*[F.struct(F.lit(c.family).alias("cf"), _text(c.qualifier_size, "0123456789abcdef", seed, 2 * k).alias("cq"), _text(c.value_size, c.charset, seed, 2 * k + 1).alias("value")) for k, c in enumerate(columns)])
+    parts = F.array(*[F.struct(F.lit(c.family).alias("cf"), _text(c.qualifier_size, "0123456789abcdef", seed, 2 * k).alias("cq"), value(c, k).alias("value")) for k, c in enumerate(columns)])
     return rows.select(key.alias("row"), F.explode(parts).alias("c")).select("row", "c.cf", "c.cq", "c.value")
