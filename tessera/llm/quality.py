@@ -32,10 +32,9 @@ def features(text: Column) -> dict[str, Column]:
     """Bins 0 to BINS - 1 of each feature of a text, null counting as empty."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    spaces = F.length(t) - F.length(F.translate(t, " \n", ""))
-    symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
-    capitals = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    stops = F.length(t) - F.length(F.translate(t, ".,", ""))
+    # a pattern over what else there is, as one match takes a whole run of it
+    count = lambda chars: F.length(F.regexp_replace(t, "[^" + "".join(rf"\{c}" if c in SYMBOLS else c for c in chars) + "]+", ""))
+    spaces, symbols, capitals, stops = count(" \n"), count(SYMBOLS), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(".,")
     words = F.split(t, " ")
     bin_ = lambda x: F.least(F.floor(x), F.lit(BINS - 1)).cast("int")
     return {
