@@ -26,9 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each SimHash component.
+    """Keeps one document, that of the smallest id, of each component of near duplicates.
 
-    Five-word shingles and a similarity of 0.8 or more, as 256-bit fingerprints estimate it.
+    Five-word shingles and a Jaccard similarity of 0.8 or more; 256-bit fingerprints give the candidates.
     """
     return simhash.drop_near_duplicates(docs)
 

@@ -40,6 +40,8 @@ BANDS, BAND_BITS = 48, 16
 HOT = 1024
 #: Rows of whole runs that are compared at once.
 CHUNK = 1 << 16
+#: In runs of so many candidates, so many first nodes are compared with all others before the rest.
+MANY, HUBS = 64, 4
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -71,8 +73,10 @@ def _more_bits(h: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(text: str | None, words: int = 4, bits: int = 64, distinct: bool = False) -> np.ndarray:
     """The words of the fingerprint of one text; see :func:`fingerprints`."""
     h = _hashes(text, words)
-    if distinct:
-        h = np.unique(h)
+    return _votes(np.unique(h) if distinct else h, bits)
+
+
+def _votes(h: np.ndarray, bits: int) -> np.ndarray:
     counts = np.zeros(bits, np.int64)
     for lo in range(0, len(h), 1 << 15):
         part = h[lo : lo + (1 << 15)]
@@ -215,13 +219,18 @@ def linked(fps: np.ndarray, nodes: np.ndarray, run: np.ndarray, radius: int) ->
     return nodes[child], nodes[labels[child]]
 
 
-def _compare(radius: int):
-    def whole(cols) -> pa.RecordBatch:
-        keys, nodes = np.stack(cols[:4], axis=1), cols[4]
-        fps = np.stack(cols[5:], axis=1).view(np.uint64)
-        run = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)]) if len(fps) else np.empty(0, np.int64)
-        a, b = linked(fps, nodes, run, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _linked(keys: np.ndarray, run: np.ndarray, cols: list[np.ndarray], radius: int):
+    a, b = linked(np.stack(cols[1:], axis=1).view(np.uint64), cols[0], run, radius)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _compare(radius: int, width: int, each):
+    """``each`` over whole runs; the first ``width`` columns tell runs apart."""
+
+    def whole(cols):
+        keys = np.stack(cols[:width], axis=1)
+        run = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.empty(0, np.int64)
+        return each(keys, run, cols[width:], radius)
 
     def run(batches):
         held = None
@@ -229,37 +238,42 @@ def _compare(radius: int):
             new = [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if len(held[0]) >= CHUNK:
-                keys = np.stack(held[:4], axis=1)
+                keys = np.stack(held[:width], axis=1)
                 cut = int(np.flatnonzero((keys != keys[-1]).any(1)).max(initial=-1)) + 1  # the last run may go on
                 if cut:
-                    yield whole([h[:cut] for h in held])
+                    yield from whole([h[:cut] for h in held])
                     held = [h[cut:] for h in held]
         if held is not None:
-            yield whole(held)
+            yield from whole(held)
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Links ``(a, b)`` of nodes that connect what chains of fingerprints within ``radius`` bits connect.
-
-    ``distinct(node, fp0, ...)`` holds each fingerprint once.
-    """
-    names = [c for c in distinct.columns if c != "node"]
+def _runs(distinct: DataFrame, radius: int) -> DataFrame:
+    """``(t, key, i, j, node, fp0, ...)``, a run after the other: what agrees on choice ``t``, or two tiles of it."""
+    rest = [c for c in distinct.columns if c != "node"]
+    names = [c for c in rest if c.startswith("fp")]
     signed = lambda m: m - (1 << WORD) if m >> WORD - 1 else m
     keys = []
     for choice in _choices(WORD * len(names), radius):
         masked = [F.col(n).bitwiseAND(F.lit(signed(m)).cast("long")) for n, m in zip(names, choice)]
         keys.append(masked[0] if len(names) == 1 else F.xxhash64(*masked))
-    keyed = distinct.select("node", *names, F.posexplode(F.array(*keys)).alias("t", "key"))
+    keyed = distinct.select("node", *rest, F.posexplode(F.array(*keys)).alias("t", "key"))
     hot = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "hot")
-    cold = keyed.join(hot, ["t", "key"], "left_anti").select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", *names)
+    cold = keyed.join(hot, ["t", "key"], "left_anti").select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", *rest)
     tiles = F.ceil(F.col("n") * 2 / HOT).cast("int")
-    tiled = keyed.join(hot, ["t", "key"]).select("t", "key", "node", *names, tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
-    pairs = tiled.select("t", "key", "node", *names, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    pairs = pairs.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *names)
-    runs = cold.union(pairs).repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "node")
-    return runs.mapInArrow(_compare(radius), "a long, b long")
+    tiled = keyed.join(hot, ["t", "key"]).select("t", "key", "node", *rest, tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
+    pairs = tiled.select("t", "key", "node", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    pairs = pairs.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *rest)
+    return cold.union(pairs).repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "node")
+
+
+def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """Links ``(a, b)`` of nodes that connect what chains of fingerprints within ``radius`` bits connect.
+
+    ``distinct(node, fp0, ...)`` holds each fingerprint once.
+    """
+    return _runs(distinct, radius).mapInArrow(_compare(radius, 4, _linked), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, bits: int = 64, distinct: bool = False) -> DataFrame:
@@ -284,15 +298,162 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.withColumn("node", node).join(named, F.col("node") == F.col("own")).select("doc_id", *names, "component_id")
 
 
+def _shingle_sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """``(doc_id, hash, node, size, fp0, ...)`` of ``(doc_id, hash, text)``: ``node`` stands for the set of shingles, ``size`` is its size."""
+    names = _columns(bits)
+
+    def run(batches):
+        for b in batches:
+            nodes, sizes, fps = [], [], []
+            for t in b.column(2).to_pylist():
+                h = np.unique(_hashes(t, words))
+                nodes.append(_node(h))
+                sizes.append(len(h))
+                fps.append(_votes(h, bits))
+            prints = np.array(fps, np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names)))], names=["doc_id", "hash", "node", "size", *names])
+
+    return docs.mapInArrow(run, "doc_id long, hash long, node long, size long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _node(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
+def _hook(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Merge the sets of ``i`` and ``j``; of these pairs, those that did it."""
+    used = []
+    while True:
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
+            return labels, used
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        used.append((i[first], j[first]))
+        labels[high] = np.minimum(a, b)[first]
+        while True:
+            next_ = labels[labels]
+            if (next_ == labels).all():
+                break
+            labels = next_
+
+
+def _candidates(similarity: float, every: bool):
+    """Pairs within the radius whose sizes allow ``similarity``: those of a spanning forest of each run, or with ``every`` all of unlike labels.
+
+    Columns after the run's: node, size, fingerprint; with ``every`` the label comes before the fingerprint.
+    """
+
+    def each(keys, run, cols, radius):
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        sizes = np.diff(np.r_[starts, len(run)])
+        alone = np.repeat(sizes == 1, sizes)
+        keys, cols, sizes = keys[~alone], [c[~alone] for c in cols], sizes[sizes > 1]
+        n = len(keys)
+        if not n:
+            return
+        nodes, held = cols[0], cols[1]
+        fps = np.stack(cols[3 if every else 2 :], axis=1).view(np.uint64)
+        end = np.repeat(np.cumsum(sizes), sizes)
+        at, labels, planes, used = np.arange(n), np.arange(n), _planes(fps), []
+        possible = lambda i, j: np.minimum(held[i], held[j]) >= similarity * np.maximum(held[i], held[j]) - 1e-6
+        if not every:
+            # runs of many near copies: their first nodes are the hubs in each run, so that few different pairs come out
+            for lo, size in zip(np.cumsum(sizes) - sizes, sizes):
+                for hub in range(lo, lo + HUBS) if size >= MANY else ():
+                    j = np.arange(hub + 1, lo + size)
+                    j = j[(np.bitwise_count(fps[j] ^ fps[hub]).sum(1) <= radius) & possible(j, hub)]
+                    labels, more = _hook(labels, np.full(len(j), hub), j)
+                    used += more
+        for shift in range(1, int(sizes.max())):
+            i = close_at(planes, at + shift < end, shift, radius)
+            i = i[possible(i, i + shift)]
+            if every:
+                i = i[cols[2][i] != cols[2][i + shift]]
+                if len(i):
+                    x, y = nodes[i], nodes[i + shift]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            elif len(i):
+                labels, more = _hook(labels, i, i + shift)
+                used += more
+        if used:
+            i, j = (np.concatenate(x) for x in zip(*used))
+            x, y = nodes[i], nodes[j]
+            yield pa.RecordBatch.from_arrays([*(pa.array(keys[i, k]) for k in range(keys.shape[1])), pa.array(nodes[labels[i]]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["t", "key", "i", "j", "first", "a", "b"])
+
+    return each
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, hashes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(a, b, good)``: whether the exact Jaccard similarity of the sets of nodes ``a`` and ``b`` reaches ``similarity``.
+
+    ``texts(hash, text)``, ``hashes(node, hash)``: a text of each node.  Only the sets of nodes in ``pairs`` are made, once each.
+    """
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = written(hashes.join(wanted, "node").groupBy("hash").agg(F.min("node").alias("node")), "wanted")
+
+    def sets(batches):
+        for b in batches:
+            found = [np.unique(_hashes(t, words)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["node", "members"])
+
+    def check(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(k).to_pylist()] for k in (2, 3))
+            good = []
+            for p, q in zip(x, y):
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    of = texts.join(wanted, "hash").dropDuplicates(["hash"]).select("hash", "text").mapInArrow(sets, "node long, members binary")
+    of = written(of, "sets").dropDuplicates(["node"])
+    left = pairs.join(of.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+    both = left.join(of.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(check, "a long, b long, good boolean"), "checked")
+
+
+def similar(distinct: DataFrame, texts: DataFrame, hashes: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """``(node, root)``, as :func:`components` gives, of the candidates whose exact similarity is ``similarity`` or more.
+
+    ``distinct(node, size, fp0, ...)`` holds each set once.  A spanning forest of each run's
+    candidates is checked first.  Where all of a tree's pairs pass, the rest of its pairs can't connect more; of the
+    trees with a pair that fails, all pairs of nodes still apart are checked.
+    """
+    names = [c for c in distinct.columns if c.startswith("fp")]
+    forest = _runs(distinct.select("node", "size", *names), radius).mapInArrow(_compare(radius, 4, _candidates(similarity, False)), "t long, key long, i long, j long, first long, a long, b long")
+    forest = written(forest.select(F.xxhash64("t", "key", "i", "j", "first").alias("tree"), "a", "b"), "forest")
+    once = _checked(forest.select("a", "b"), texts, hashes, words, similarity)
+    good = once.filter("good").select("a", "b")
+    roots = written(components(good), "roots")
+    bad = forest.join(once.filter("NOT good"), ["a", "b"]).select("tree").distinct()
+    torn = written(forest.join(bad, "tree"), "torn")
+    members = torn.select("tree", F.col("a").alias("node")).union(torn.select("tree", "b")).distinct()
+    members = members.join(roots, "node", "left").join(distinct.select("node", "size", *names), "node").select("tree", "node", "size", F.coalesce("root", "node").alias("label"), *names)
+    more = members.repartition("tree").sortWithinPartitions("tree", "node").mapInArrow(_compare(radius, 1, _candidates(similarity, True)), "a long, b long")
+    more = written(more.distinct().join(once, ["a", "b"], "left_anti"), "more")
+    again = _checked(more, texts, hashes, words, similarity)
+    return components(good.union(again.filter("good").select("a", "b")))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id.
 
-    Documents link at an estimated Jaccard similarity of ``similarity`` of their sets
-    of ``words``-word shingles, by fingerprints of ``bits`` bits.  Rows that repeat an
-    id count as one document, of which one row stays.  Rows without an id can't be
-    named and all stay.
+    Documents link at a Jaccard similarity of ``similarity`` or more of their sets of
+    ``words``-word shingles.  Fingerprints of ``bits`` bits give the candidates, and the sets
+    themselves decide.  Rows that repeat an id count as one document, of which one row stays.  Rows
+    without an id can't be named and all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, words, radius_of(similarity, bits), bits, distinct=True)
-    kept = written(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    names = _columns(bits)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    prints = written(_shingle_sets(texts, words, bits), "fingerprints")
+    of_set = prints.groupBy("node", "size", *names).agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"))
+    classes = written(of_set, "classes")
+    roots = similar(classes, texts.select("hash", "text"), classes.select("node", "hash"), words, similarity, radius_of(similarity, bits))
+    rooted = classes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("__kept")).filter(F.col("__kept").isNotNull())
+    kept = written(kept.select("__kept").distinct(), "kept")
     named = docs.join(kept, docs[id_col] == kept["__kept"]).drop("__kept").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

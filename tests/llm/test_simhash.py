@@ -150,3 +150,33 @@ def test_bit_sliced_comparison_of_long_fingerprints():
     fps[100:] = fps[:100] ^ (r.integers(0, 1 << 63, (100, 4), np.uint64) & r.integers(0, 1 << 63, (100, 4), np.uint64) & r.integers(0, 1 << 63, (100, 4), np.uint64))
     got = simhash.close_at(simhash._planes(fps), np.arange(200) < 100, 100, 30).tolist()
     assert 0 < len(got) < 100 and got == [i for i in range(100) if bin(number(fps[i]) ^ number(fps[i + 100])).count("1") <= 30]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_only_exact_similarity_links(spark, make_docs, words):
+    """Copies with every 40th word changed (similarity 0.78) are often within the radius, but all stay."""
+    rows, near = [], 0
+    for i in range(60):
+        base = words(360, 100 + i).split()
+        text = " ".join(f"x{i}{n}" if n % 40 == 20 else w for n, w in enumerate(base))
+        assert 0.7 < jaccard(" ".join(base), text) < 0.8
+        near += bin(plain(" ".join(base), 5, 256, True) ^ plain(text, 5, 256, True)).count("1") <= 44
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, text)]
+    assert near >= 10
+    assert simhash.drop_near_duplicates(make_docs(rows)).count() == 120
+
+
+def test_torn_trees_keep_what_is_similar(spark, make_docs, words):
+    """First and last of three texts are at 0.798 and the middle at 0.89 of both: whichever pairs are checked first, all link."""
+    rows = []
+    for i in range(40):
+        base = words(360, 300 + i).split()
+        for k in range(3):
+            changed = {20 + 40 * m for m in range(4 * k)}
+            rows.append((3 * i + k, " ".join(f"x{i}{n}" if n in changed else w for n, w in enumerate(base))))
+        assert jaccard(rows[-3][1], rows[-1][1]) < 0.8 < 0.88 < min(jaccard(rows[-3][1], rows[-2][1]), jaccard(rows[-2][1], rows[-1][1]))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == {3 * i for i in range(40)}
