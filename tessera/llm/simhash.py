@@ -34,8 +34,10 @@ from .shared import written
 SEED = 42
 WORD = 64
 #: Choices of bits for longer fingerprints.  A pair of which a part p of all bits differs
-#: is missed with probability (1 - (1 - p) ** BAND_BITS) ** BANDS: 0.03 at a similarity of 0.8, 0.0002 at 0.9.
-BANDS, BAND_BITS = 48, 16
+#: is missed with probability (1 - (1 - p) ** BAND_BITS) ** BANDS: 0.0008 at a similarity of 0.8, 5e-8 at 0.9.
+BANDS, BAND_BITS = 96, 16
+#: Standard deviations of the estimate by which a pair at the threshold may differ more and still be a candidate.
+DEVIATIONS = 3
 #: Rows that share a combination before it is cut into tiles of half as many.
 HOT = 1024
 #: Rows of whole runs that are compared at once.
@@ -108,15 +110,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def radius_of(similarity: float, bits: int) -> int:
+def radius_of(similarity: float, bits: int, deviations: float = 1) -> int:
     """Bits that may differ for sets of shingles of that Jaccard similarity, as SimHash estimates it.
 
     Sets of about equal size and Jaccard similarity s have cosine 2s / (1 + s), and a
-    bit differs with the angle's share of a half turn.  One standard deviation is
-    added, so that most pairs at the very threshold are found too.
+    bit differs with the angle's share of a half turn.  ``deviations`` standard deviations
+    are added: one finds five sixths of the pairs at the very threshold, three 99.9 %.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def block_masks(radius: int) -> list[int]:
@@ -451,7 +453,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = written(_shingle_sets(texts, words, bits), "fingerprints")
     of_set = prints.groupBy("node", "size", *names).agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"))
     classes = written(of_set, "classes")
-    roots = similar(classes, texts.select("hash", "text"), classes.select("node", "hash"), words, similarity, radius_of(similarity, bits))
+    roots = similar(classes, texts.select("hash", "text"), classes.select("node", "hash"), words, similarity, radius_of(similarity, bits, DEVIATIONS))
     rooted = classes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("__kept")).filter(F.col("__kept").isNotNull())
     kept = written(kept.select("__kept").distinct(), "kept")

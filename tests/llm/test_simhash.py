@@ -180,3 +180,16 @@ def test_torn_trees_keep_what_is_similar(spark, make_docs, words):
             rows.append((3 * i + k, " ".join(f"x{i}{n}" if n in changed else w for n, w in enumerate(base))))
         assert jaccard(rows[-3][1], rows[-1][1]) < 0.8 < 0.88 < min(jaccard(rows[-3][1], rows[-2][1]), jaccard(rows[-2][1], rows[-1][1]))
     assert {r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == {3 * i for i in range(40)}
+
+
+def test_similar_documents_near_the_threshold_are_found(spark, make_docs, words):
+    """Copies with seven words changed (similarity 0.82) differ in more than one standard deviation now and then; all link."""
+    rows, far = [], 0
+    for i in range(80):
+        base = words(360, 500 + i).split()
+        text = " ".join(f"x{i}{n}" if n % 51 == 20 else w for n, w in enumerate(base))
+        assert 0.8 <= jaccard(" ".join(base), text) < 0.83
+        far += bin(plain(" ".join(base), 5, 256, True) ^ plain(text, 5, 256, True)).count("1") > 44
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, text)]
+    assert far
+    assert {r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == {2 * i for i in range(80)}
