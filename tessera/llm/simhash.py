@@ -445,17 +445,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents link at a Jaccard similarity of ``similarity`` or more of their sets of
     ``words``-word shingles.  Fingerprints of ``bits`` bits give the candidates, and the sets
-    themselves decide.  Rows that repeat an id count as one document, of which one row stays.  Rows
-    without an id can't be named and all stay.
+    themselves decide.  Rows that repeat an id and its text count as one document, of which one
+    row stays; unlike texts under one id are documents of their own.  Rows without an id can't
+    be named and all stay.
     """
     names = _columns(bits)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     prints = written(_shingle_sets(texts, words, bits), "fingerprints")
-    of_set = prints.groupBy("node", "size", *names).agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))
+    of_set = prints.groupBy("node", "size", *names).agg(F.min(row).alias("least"), F.min("hash").alias("hash"))
     classes = written(of_set, "classes")
     roots = similar(classes, texts.select("hash", "text"), classes.select("node", "hash"), words, similarity, radius_of(similarity, bits, DEVIATIONS))
     rooted = classes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("__kept")).filter(F.col("__kept").isNotNull())
-    kept = written(kept.select("__kept").distinct(), "kept")
-    named = docs.join(kept, docs[id_col] == kept["__kept"]).drop("__kept").dropDuplicates([id_col])
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).filter(F.col("least").isNotNull())
+    kept = written(kept.select(F.col("least.doc_id").alias("__kept"), F.col("least.hash").alias("__hash")).distinct(), "kept")
+    same = (docs[id_col] == kept["__kept"]) & (F.xxhash64(docs[text_col]) == kept["__hash"])
+    named = docs.join(kept, same).dropDuplicates([id_col, "__hash"]).drop("__kept", "__hash")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

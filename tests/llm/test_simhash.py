@@ -193,3 +193,12 @@ def test_similar_documents_near_the_threshold_are_found(spark, make_docs, words)
         rows += [(2 * i, " ".join(base)), (2 * i + 1, text)]
     assert far
     assert {r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows)).collect()} == {2 * i for i in range(80)}
+
+
+def test_other_texts_under_one_id_stay(spark, make_docs, words):
+    """Of an id with a copy of another document and a text of its own, the latter stays; two unlike texts both stay."""
+    rows = []
+    for i in range(0, 200, 10):
+        rows += [(i + 3, words(90, i)), (i + 5, words(90, i)), (i + 5, words(80, i + 1)), (i + 7, words(70, i + 2)), (i + 7, words(60, i + 3)), (i + 7, words(60, i + 3))]
+    got = sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(make_docs(rows)).collect())
+    assert got == sorted(x for i in range(0, 200, 10) for x in [(i + 3, words(90, i)), (i + 5, words(80, i + 1)), (i + 7, words(70, i + 2)), (i + 7, words(60, i + 3))])
