@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are boilerplate of their source; all documents stay."""
-    return linededup.drop_boilerplate(docs)
+    """Drops lines that are boilerplate of their source, however few its pages; all documents stay."""
+    return linededup.drop_boilerplate(docs, min_host=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,8 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+
+
+def test_boilerplate_of_small_hosts_goes(spark, make_docs, words):
+    docs = make_docs([(i, words(20, i) + "\nAll rights reserved", "small") for i in range(19)])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()) == [(i, words(20, i)) for i in range(19)]
