@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 ERROR_RATE = 0.05
-#: Shorter items, by characters after folding, say too little and are ignored.
+#: Shorter items, by characters after folding, must stand there exactly, as whole words.
 MIN_ITEM_CHARS = 30
 BLOCK_CHARS = 8_000_000
 
@@ -67,9 +67,15 @@ class Pattern:
         return best, at
 
 
+def _inside(left: str, right: str) -> bool:
+    """Whether two characters side by side belong to one word."""
+    return left.isalnum() and right.isalnum()
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items, self.patterns, self.budgets = items, [Pattern(t) for _, t in items], [int(rate * len(t)) for _, t in items]
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = 0):
+        self.items, self.patterns, self.short = items, [Pattern(t) for _, t in items], [len(t) < min_chars for _, t in items]
+        self.budgets = [0 if short else int(rate * len(t)) for short, (_, t) in zip(self.short, items)]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(items):
             for offset, piece in pieces(t, self.budgets[k]):
@@ -89,6 +95,8 @@ class Matcher:
         for end, (length, places) in self.automaton.iter(folded):
             for k, offset in places:
                 start = end + 1 - length - offset
+                if self.short[k] and (start and _inside(folded[start - 1], folded[start]) or _inside(folded[end], folded[end + 1 : end + 2])):
+                    continue
                 e = self.budgets[k]
                 lo, hi = max(0, start - e), min(len(folded), start + self.patterns[k].m + e)
                 windows.setdefault(k, []).append([lo, hi, start])
@@ -109,19 +117,19 @@ class Matcher:
                     best = min(best, pattern.best(folded[lo:hi])[0])
             if best <= self.budgets[k]:
                 found.append((self.items[k][0], best))
-        return sorted(found)
+        return sorted(found, key=lambda x: (x[0] is None, x))
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int):
-    """Blocks of distinct folded items ``(smallest id, text)``, in the order of ids."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool):
+    """Blocks of distinct folded items ``(smallest id, text)``, in the order of ids; with ``nameless`` those without an id too."""
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fold(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "folded"])
 
     folded = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, folded string")
-    long_enough = folded.filter(F.col("id").isNotNull() & (F.length("folded") >= min_chars))
-    once = written(long_enough.groupBy("folded").agg(F.min("id").alias("id")), "items")
+    known = folded.filter((F.col("id").isNotNull() | F.lit(nameless)) & (F.col("folded") != ""))
+    once = written(known.groupBy("folded").agg(F.min("id").alias("id")), "items")
     block, held = [], 0
     for r in once.orderBy("id").toLocalIterator():
         block.append((r["id"], r["folded"]))
@@ -133,9 +141,9 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int):
         yield block
 
 
-def _matched(shared, rate: float):
+def _matched(shared, rate: float, min_chars: int):
     def run(batches):
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher(shared.value, rate, min_chars)
         for b in batches:
             rows = [(key, *m) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matcher.matches(text)]
             columns = list(zip(*rows)) or [[], [], []]
@@ -148,27 +156,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``(doc_id, item_id, distance)``: each item that stands in a document, with its least edit distance.
 
     Case and white space don't count.  Items whose folded texts are equal count as
-    one, under the smallest id.  Items that are null, without an id or shorter than
-    ``min_chars`` match nothing, and nothing stands in null or empty texts.  Whole
+    one, under the smallest id.  Items shorter than ``min_chars`` must
+    stand there exactly, as whole words.  Items that are null, empty or without an id match
+    nothing, and nothing stands in null or empty texts.  Whole
     texts are searched.  Repeated rows of documents give repeated rows.  Without
     documents or items the result is empty.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind, out = "doc_id long, item_id long, distance int", None
-    for block in _items(benchmark, item_col, item_text, min_chars):
-        found = rows.mapInArrow(_matched(spark.sparkContext.broadcast(block), rate), kind)
+    for block in _items(benchmark, item_col, item_text, False):
+        found = rows.mapInArrow(_matched(spark.sparkContext.broadcast(block), rate, min_chars), kind)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], kind) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_ITEM_CHARS) -> DataFrame:
-    """``docs`` without those in which an item of ``benchmark`` stands; see :func:`contaminated`."""
+    """``docs`` without those in which an item of ``benchmark`` stands, one without an id included; see :func:`contaminated`."""
     out = docs
-    for block in _items(benchmark, item_col, item_text, min_chars):
+    for block in _items(benchmark, item_col, item_text, True):
 
         def run(batches, shared=docs.sparkSession.sparkContext.broadcast(block)):
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, min_chars)
             for b in batches:
                 clean = np.array([not matcher.matches(t) for t in b.column(text_col).to_pylist()], bool)
                 yield b.filter(pa.array(clean))

@@ -76,3 +76,13 @@ def test_empty(spark, make_docs, words):
     none, some = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, words(20, 1))], "item_id long, text string")
     assert de.contaminated(make_docs([]), some).collect() == [] == de.contaminated(make_docs([(1, "x")]), none).collect()
     assert de.drop_contaminated(make_docs([]), some).collect() == [] and de.drop_contaminated(make_docs([(1, "x")]), none).count() == 1
+
+
+def test_short_and_nameless_items(spark, make_docs, words):
+    """Short items match exactly as whole words, items without an id drop documents."""
+    items = [(1, "Who  wrote Emma?"), (2, "cat"), (None, words(12, 999)), (3, ""), (4, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "so: who wrote\nemma? nobody"), (2, "concatenate cats, bobcat"), (3, "a Cat."), (4, "x " + words(12, 999)), (5, "who wrote emna?"), (6, None), (7, "cat"), (8, "bobcat and cat")]
+    docs = make_docs(rows)
+    assert sorted(tuple(r) for r in de.contaminated(docs, benchmark).collect()) == [(1, 1, 0), (3, 2, 0), (7, 2, 0), (8, 2, 0)]
+    assert sorted(r.doc_id for r in de.drop_contaminated(docs, benchmark).collect()) == [2, 5, 6]
