@@ -379,7 +379,7 @@ query(
 # ---------------------------------------------------------------- through the store
 
 
-def stored(spark, d) -> DataFrame:
+def stored(spark, d, where: str = f" WHERE ROW <= '{k(9)}'") -> DataFrame:
     """Create, load, delete, alter, compact and scan a table of the store, by statements where there is one."""
     from tessera.session import Session
 
@@ -393,11 +393,13 @@ def stored(spark, d) -> DataFrame:
     s.execute(f"DELETE click, 'view:' FROM events WHERE ROW = '{k(2)}' TIMESTAMP '2024-01-20 00:00:00'")
     s.execute(f"INSERT INTO events VALUES ('2024-01-16 00:00:00', '{k(1)}', 'click:new', 'x'), ('2024-01-01 00:00:00', '{k(1)}', 'click:old', 'y')")
     s.store.table("events").compact()
-    return shown(s.execute(f"SELECT click, purchase, view FROM events WHERE ROW <= '{k(9)}'").cells)
+    return shown(s.execute(f"SELECT click, purchase, view FROM events{where}").cells)
 
 
 _gone = f"(\"row\" = '{k(1)}' AND ts <= {fn.parse_datetime('2024-01-15')}) OR (\"row\" = '{k(2)}' AND cf IN ('click', 'view') AND ts <= {fn.parse_datetime('2024-01-20')})"
 query("store_round_trip", stored, f"SELECT {_SHOW} FROM ({_RANKED.format(E)} WHERE cf IN ('click', 'purchase', 'view') AND \"row\" <= '{k(9)}' AND NOT ({_gone})) WHERE age <= 2 UNION ALL SELECT '{k(1)}', 'click', 'new', {fn.parse_datetime('2024-01-16')}, 'x'")
+# the same, and all rows come back
+query("store_round_trip_all", lambda spark, d: stored(spark, d, ""), f"SELECT {_SHOW} FROM ({_RANKED.format(E)} WHERE cf IN ('click', 'purchase', 'view') AND NOT ({_gone})) WHERE age <= 2 UNION ALL SELECT '{k(1)}', 'click', 'new', {fn.parse_datetime('2024-01-16')}, 'x'")
 
 
 # ---------------------------------------------------------------- entry points
@@ -410,6 +412,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("flagship", flagship, f"SELECT {_SHOW} FROM ({_RANKED.format(E)} WHERE {_ALL_SEEN} AND \"row\" BETWEEN '{k(1)}' AND '{k(9)}') WHERE age <= 2")
+query("flagship_all", lambda spark, d: shown(events(spark, d).scan(ScanSpec(revs=2), markers=markers(spark, d))), f"SELECT {_SHOW} FROM ({_RANKED.format(E)} WHERE {_ALL_SEEN}) WHERE age <= 2")
 
 
 def queries() -> dict:

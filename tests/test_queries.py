@@ -34,3 +34,9 @@ def test_native_bounds_reach_the_files(spark):
     assert "GreaterThanOrEqual(o_orderkey,100)" in plan and "LessThanOrEqual(o_orderkey,200)" in plan
     plan = q.queries()["access_group_prune"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_quantity" not in plan and "l_tax" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_whole_tables_come_back_from_the_store():
+    for name in ("store_round_trip", "flagship"):
+        assert name + "_all" in q.queries() and q.k(9) not in q.oracle_sql()[name + "_all"]
