@@ -53,4 +53,6 @@ def components(links: DataFrame) -> DataFrame:
         for step in (_large_star, _small_star):
             then, now = now, step(now)
             discard(then)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._tessera_path = now._tessera_path  # for discard()
+    return out

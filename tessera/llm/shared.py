@@ -42,13 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more; other frames are passed over."""
+    for df in frames:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def text_bytes(col) -> F.Column:
