@@ -37,9 +37,14 @@ def marker(schema: Schema, row: str, column: str | None = None, ts: int | None =
     return check_row(row), f.name, f.id, qualifier or "", ts, None, DELETE_FAMILY if qualifier is None else DELETE_CELL, None
 
 
+def stamped(rows: list[tuple], rev: int, ts: int) -> list[tuple]:
+    """``rows`` in their order with revisions from ``rev``, and from ``ts`` the times that are null."""
+    return [(*r[:4], ts + k if r[4] is None else r[4], rev + k, *r[6:]) for k, r in enumerate(rows)]
+
+
 def frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Statement-sized lists, in one partition so that revisions follow their order."""
-    return spark.createDataFrame(rows, _LOOSE).coalesce(1)
+    """Statement-sized lists."""
+    return spark.createDataFrame(rows, _LOOSE)
 
 
 def checked(cells: DataFrame, schema: Schema) -> DataFrame:

@@ -98,8 +98,13 @@ def newest(cells: DataFrame, families: list[Family], revs: int) -> DataFrame:
     return aged.filter(F.coalesce(F.col("__age") <= limit, F.lit(True))).drop("__age")
 
 
-def major(cells: DataFrame, families: list[Family], now_ns: int | None) -> DataFrame:
-    """What a compaction of everything keeps: live families, unexpired, undeleted, newest versions; no markers."""
+def major(cells: DataFrame, families: list[Family], now_ns: int | None, has_deletes: bool = True, few_markers: bool = False, wide_rows: bool = False) -> DataFrame:
+    """What a compaction of everything keeps: live families, unexpired, undeleted, newest versions; no markers.
+
+    Without markers their stage, and its shuffle, is left out; the other flags are those of :func:`undeleted`.
+    """
     live = cells.filter(F.col("cf_id").isin([f.id for f in families]) | (F.col("flag") == DELETE_ROW))
-    seen = undeleted(unexpired(live, families, now_ns))
+    seen = unexpired(live, families, now_ns)
+    if has_deletes:
+        seen = undeleted(seen, few_markers, wide_rows=wide_rows)
     return newest(seen.withColumn("ord", F.lit(0)), families, 0).drop("ord")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
@@ -38,12 +40,16 @@ HELP = {
 
 @dataclass
 class Result:
-    """What a statement gives: ``lines`` of text, and for reads the cells as a DataFrame."""
+    """What a statement gives: ``lines`` of text, and for reads the cells as a DataFrame.
+
+    ``rejected``: for loads, all lines that were left out, with the reason.
+    """
 
     lines: list[str] = field(default_factory=list)
     cells: DataFrame | None = None
     rendered: DataFrame | None = None
     scanner: int | None = None
+    rejected: DataFrame | None = None
 
     def text(self) -> list[str]:
         """All lines; those of a read are brought to the driver, so ask for what fits there."""
@@ -55,6 +61,8 @@ class Session:
 
     #: Cells that a cursor gives at once.
     CHUNK = 100
+    #: Lines left out by a load that its report shows.
+    SHOWN = 100
 
     def __init__(self, spark: SparkSession, root: str, clock=None, raw_timestamps: bool = False):
         """``raw_timestamps``: reads display times as numbers of nanoseconds."""
@@ -136,17 +144,26 @@ class Session:
             sink.write_lines(cells.select(line.alias("line")), s.into, sink.header(given))
         else:
             self.load(s.table, cells)
-        return Result([f"{r.reason}: {r.line}" for r in bad.limit(100).collect()])  # a report, of the first hundred
+        return self._report(bad)
 
-    def _stdin(self, _) -> tuple[DataFrame, list[str]]:
-        import sys
+    def _report(self, bad: DataFrame) -> Result:
+        """How many lines were left out, the first of them, and all as a DataFrame."""
+        first = bad.limit(self.SHOWN + 1).collect()
+        report = [f"{r.reason}: {r.line}" for r in first[: self.SHOWN]]
+        if len(first) > self.SHOWN:
+            report.append(f"{bad.count()} lines were left out")
+        return Result(report, rejected=bad)
 
-        first, *rest = sys.stdin.read().splitlines() or [""]
-        return self.spark.createDataFrame([(x,) for x in rest], "value string"), tsv.header_of(first)
+    def _stdin(self, _) -> tuple[DataFrame, list[str]]:
+        """Standard input goes to a file of the store a piece at a time, for executors to read."""
+        first, path = sys.stdin.readline(), f"{self.store.root}/stdin/{uuid.uuid4().hex}"
+        self.store.files.write(path, iter(lambda: sys.stdin.read(1 << 20), ""))
+        return self.spark.read.text(path), tsv.header_of(first)
 
     def _Update(self, s: st.Update) -> Result:
-        self.load(s.table, tsv.read_script(self.spark.read.text(s.source)))
-        return Result()
+        good, bad = tsv.read_script(self.spark.read.text(s.source))
+        self.load(s.table, good)
+        return self._report(bad)
 
     def _CreateScanner(self, s: st.CreateScanner) -> Result:
         cells = self.scan(s.table, s.spec if s.spec.rows or s.spec.cells else replace(s.spec, rows=(s.range,)))
@@ -261,8 +278,7 @@ class Session:
 
     def put(self, name: str, rows: list[tuple]) -> None:
         """Commit cells made by ``mutate.insert`` and ``mutate.marker``, in their order."""
-        if rows:
-            self.store.table(name).append(mutate.frame(self.spark, rows), stamp=True)
+        self.store.table(name).put(rows)
 
     def load(self, name: str, cells: DataFrame) -> None:
         """Commit a frame ``(row, cf, value[, cq, ts, flag])`` of any size."""
@@ -332,9 +348,12 @@ class Cursor:
 
 
 class Mutator:
+    """Buffered cells of a table.  ``failed``: those of flushes that gave up, with the error; ``retry`` takes them up again."""
+
     def __init__(self, session: Session, name: str, flush_cells: int):
         self.session, self.name, self.size = session, name, flush_cells
         self.schema, self.held = session.store.table(name).schema, []
+        self.failed: list[tuple[tuple, str]] = []
 
     def set(self, row: str, column: str, value: str | bytes, ts: int | None = None) -> None:
         self._hold(mutate.insert(self.schema, row, column, value, ts))
@@ -371,8 +390,19 @@ class Mutator:
             self.flush()
 
     def flush(self) -> None:
+        """Commit what is held, in one piece.  Where that fails for good it is in ``failed``, and the error is raised."""
         held, self.held = self.held, []
-        self.session.put(self.name, held)
+        try:
+            self.session.put(self.name, held)
+        except Exception as e:
+            self.failed += [(cell, str(e)) for cell in held]
+            raise
+
+    def retry(self) -> None:
+        """Commit ``failed`` before what is held."""
+        again, self.failed = [cell for cell, _ in self.failed], []
+        self.held = again + self.held
+        self.flush()
 
 
 __all__ = ["Family", "Group", "Result", "Session"]

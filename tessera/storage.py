@@ -13,13 +13,15 @@ import json
 import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
+from itertools import accumulate
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import Conflict, NoSuchTable, TableExists
 from .model import CELL_SCHEMA, DELETE_ROW, INSERT, Schema
-from .operators import visibility
+from .operators import mutate, visibility
 from .plans import ScanSpec, planner
 
 ROW_MARKERS = "_rows"
@@ -27,6 +29,8 @@ ROW_MARKERS = "_rows"
 FEW_MARKERS = 50_000
 #: Segments beyond which a merging compaction is due, and how many it merges.
 MAX_SEGMENTS, MERGE_SEGMENTS = 20, 5
+#: How often a commit is tried when other writers are first.
+TRIES = 5
 #: Rows of a sorted file, about.
 FILE_CELLS = 4_000_000
 
@@ -54,15 +58,37 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> None:
-        """A new file; Conflict if there is one.  Written aside first, so that nobody reads half of it."""
+        """A new file; Conflict if there is one.
+
+        Written aside first, so that nobody reads half of it, and then given its name
+        by a step of which only one writer's succeeds: a hard link on a local disk, and
+        elsewhere a rename, which Hadoop's file systems refuse where the target exists.
+        """
         fs, p = self._at(path)
         aside = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{uuid.uuid4().hex}")
         out = fs.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(p) or not fs.rename(aside, p):
+        try:
+            if fs.getScheme() == "file":
+                at = lambda x: self.jvm.java.io.File(x.toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(at(p), at(aside))
+            elif fs.exists(p) or not fs.rename(aside, p):
+                raise Conflict(f"{path} was written by somebody else")
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise Conflict(f"{path} was written by somebody else") from None
+        finally:
             fs.delete(aside, False)
-            raise Conflict(f"{path} was written by somebody else")
+
+    def write(self, path: str, parts) -> None:
+        """A file of texts one after the other."""
+        fs, p = self._at(path)
+        out = fs.create(p, False)
+        for text in parts:
+            out.write(bytearray(text.encode()))
+        out.close()
 
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
@@ -139,49 +165,89 @@ class Table:
         ``batch``: a stream's name and the number of its batch; one that was committed
         before is left out.
 
-        Revisions follow those of earlier commits and, within this one, the order of
-        partitions and rows.  An automatic timestamp is the clock's, never before an
-        earlier one.
+        Cells to stamp are written aside first, each with its place in its partition, and
+        the partitions' counts make that a number without gaps: revisions follow those of
+        earlier commits and, within this one, the order of partitions and rows, and so do
+        automatic timestamps, which begin at the clock's and after any earlier one.  If
+        another writer commits first, what lies aside is stamped again, ``TRIES`` times
+        at most; the last Conflict is raised, and then nothing was written.
         """
-        seen, data = self._versions.load()
-        now = Manifest.of(data)
-        if batch and batch[1] <= now.batches.get(batch[0], -1):
-            return None
-        base = max(self.store.clock(), now.last_ts + 1)
-        if stamp:
-            number = F.monotonically_increasing_id()
-            cells = cells.withColumn("__n", number)
-            cells = cells.withColumn("rev", F.lit(now.next_rev) + F.col("__n")).withColumn("ts", F.coalesce(F.col("ts"), F.lit(base) + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1)))).drop("__n")
-        segment = self._write(cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CELL_SCHEMA]))
-        if segment is None:
-            return None
-        # automatic times begin at the clock's or after the last commit's; explicit ones don't move it
-        new = Manifest((*now.segments, segment), max(now.next_rev, segment.max_rev + 1), base + segment.cells if stamp else now.last_ts, now.batches | (dict([batch]) if batch else {}))
+        if not stamp:
+            return self._committed(lambda now, base: cells, 0, batch)
+        aside = f"{self.folder}/aside/{uuid.uuid4().hex}"
         try:
-            self._versions.commit(seen, asdict(new))
-        except Conflict:
-            self.store.files.remove(segment.path)
-            raise
+            place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            cells.withColumns({"part": F.spark_partition_id(), "place": place}).write.parquet(aside)
+            rows = self.store.spark.read.parquet(aside)
+            # a row a task of the load
+            counts = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())
+            begins = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
+            total = sum(n for _, n in counts)
+            if not total:
+                return None
+            starts = F.broadcast(self.store.spark.createDataFrame(list(begins.items()), "part int, begin long"))
+            numbered = rows.join(starts, "part").withColumn("n", F.col("begin") + F.col("place"))
+
+            def stamped(now: Manifest, base: int) -> DataFrame:
+                return numbered.withColumns({"rev": F.lit(now.next_rev) + F.col("n"), "ts": F.coalesce("ts", F.lit(base) + F.col("n"))})
+
+            return self._committed(stamped, total, batch)
+        finally:
+            self.store.files.remove(aside)
+
+    def put(self, cells: list[tuple]) -> Segment | None:
+        """Commit a list of cells made by ``mutate.insert`` and ``mutate.marker``, in their order."""
+
+        def stamped(now: Manifest, base: int) -> DataFrame:
+            return mutate.frame(self.store.spark, mutate.stamped(cells, now.next_rev, base))
+
+        return self._committed(stamped, len(cells)) if cells else None
+
+    def _committed(self, stamped, total: int, batch: tuple[str, int] | None = None) -> Segment | None:
+        """Write ``stamped(manifest, first automatic time)`` as a segment and commit it; ``total``: cells that got stamps."""
+        for attempt in range(TRIES):
+            seen, data = self._versions.load()
+            now = Manifest.of(data)
+            if batch and batch[1] <= now.batches.get(batch[0], -1):
+                return None
+            base = max(self.store.clock(), now.last_ts + 1)
+            cells = stamped(now, base)
+            segment = self._write(cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CELL_SCHEMA]))
+            if segment is None:
+                return None
+            # explicit times don't move the clock
+            last = base + total if total else now.last_ts
+            batches = now.batches | (dict([batch]) if batch else {})
+            new = Manifest((*now.segments, segment), max(now.next_rev + total, segment.max_rev + 1), last, batches)
+            try:
+                self._versions.commit(seen, asdict(new))
+                break
+            except Conflict:
+                self.store.files.remove(segment.path)
+                if attempt == TRIES - 1:
+                    raise
+        self.maintain()
         return segment
 
     def _write(self, cells: DataFrame) -> Segment | None:
         path = f"{self.folder}/segments/{uuid.uuid4().hex}"
-        placed = cells.repartitionByRange("row").sortWithinPartitions("row", "cf_id", "cq", "flag", F.desc("ts"), F.desc("rev"))
-        groups = {g.name: [f.id for f in self.schema.families if f.name in g.families] for g in self.schema.groups}
-        options = {g.name: g.writer_options() for g in self.schema.groups}
-        total: dict[str, list] = {}
+        names = {g.name: [f.id for f in self.schema.families if f.name in g.families] for g in self.schema.groups}
         # groups that are written alike go out in one pass over the cells
         alike: dict[tuple, list[str]] = {}
-        for name, o in options.items():
-            alike.setdefault(tuple(sorted(o.items())), []).append(name)
-        for k, (o, names) in enumerate(alike.items()):
+        for g in self.schema.groups:
+            alike.setdefault(tuple(sorted(g.writer_options().items())), []).append(g.name)
+        total: dict[str, list] = {}
+        for k, (options, groups) in enumerate(alike.items()):
             group = F.lit(None).cast("string")
-            for name in names:
-                group = F.when(F.col("cf_id").isin(groups[name]), F.lit(name)).otherwise(group)
+            for name in groups:
+                group = F.when(F.col("cf_id").isin(names[name]), F.lit(name)).otherwise(group)
             if k == 0:
                 group = F.when(F.col("flag") == DELETE_ROW, F.lit(ROW_MARKERS)).otherwise(group)
+            part = cells.withColumn("ag", group).filter(F.col("ag").isNotNull())
+            # by more than the row, so that a wide row is more than one task
+            part = part.repartitionByRange("row", "cf_id", "cq")
+            part = part.sortWithinPartitions("row", "cf_id", "cq", "flag", F.desc("ts"), F.desc("rev"))
             seen = Observation()
-            part = placed.withColumn("ag", group).filter(F.col("ag").isNotNull())
             part = part.observe(
                 seen,
                 F.count(F.lit(1)).alias("n"),
@@ -191,15 +257,18 @@ class Table:
                 *[f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in ("rev", "ts")],
                 F.collect_set("ag").alias("groups"),
             )
-            part.write.mode("append").options(**dict(o)).option("maxRecordsPerFile", FILE_CELLS).partitionBy("ag").parquet(path)
+            writer = part.write.mode("append").options(**dict(options)).option("maxRecordsPerFile", FILE_CELLS)
+            writer.partitionBy("ag").parquet(path)
             for key, value in seen.get.items():
                 total.setdefault(key, []).append(value)
         if not sum(total["n"]):
             self.store.files.remove(path)
             return None
-        low, high = (lambda key: min(x for x in total[key] if x is not None)), (lambda key: max(x for x in total[key] if x is not None))
-        rows = [x.encode() for x in total["min_row"] if x is not None], [x.encode() for x in total["max_row"] if x is not None]
-        return Segment(path, tuple(sorted({g for x in total["groups"] for g in x})), sum(total["n"]), sum(total["markers"]), min(rows[0]).decode(), max(rows[1]).decode(), low("min_rev"), high("max_rev"), low("min_ts"), high("max_ts"))
+        known = {k: [x for x in v if x is not None] for k, v in total.items()}
+        rows = [min(x.encode() for x in known["min_row"]).decode(), max(x.encode() for x in known["max_row"]).decode()]
+        revs, times = [min(known["min_rev"]), max(known["max_rev"])], [min(known["min_ts"]), max(known["max_ts"])]
+        held = tuple(sorted({g for x in total["groups"] for g in x}))
+        return Segment(path, held, sum(total["n"]), sum(total["markers"]), *rows, *revs, *times)
 
     # -- reading
 
@@ -234,7 +303,10 @@ class Table:
         now = Manifest.of(data)
         if major:
             chosen = now.segments
-            kept = visibility.major(self.cells(chosen), self.schema.live(), self.store.clock() if now_ns is None else now_ns)
+            markers = sum(x.markers for x in chosen)
+            how = {"has_deletes": markers > 0, "few_markers": markers <= FEW_MARKERS, "wide_rows": True}
+            clock = self.store.clock() if now_ns is None else now_ns
+            kept = visibility.major(self.cells(chosen), self.schema.live(), clock, **how)
         else:
             chosen = tuple(sorted(now.segments, key=lambda s: s.cells)[:MERGE_SEGMENTS])
             kept = self.cells(chosen)
@@ -242,13 +314,24 @@ class Table:
             return
         segment = self._write(kept)
         rest = tuple(s for s in now.segments if s not in chosen)
-        self._versions.commit(seen, asdict(replace(now, segments=rest + ((segment,) if segment else ()))))
+        try:
+            self._versions.commit(seen, asdict(replace(now, segments=rest + ((segment,) if segment else ()))))
+        except Conflict:
+            if segment:
+                self.store.files.remove(segment.path)
+            raise
 
     def maintain(self) -> bool:
-        """A merging compaction if there are too many segments."""
+        """A merging compaction if there are too many segments; every commit of cells asks for it.
+
+        If another writer commits meanwhile it is left to that one.
+        """
         if len(self.manifest().segments) <= MAX_SEGMENTS:
             return False
-        self.compact(major=False)
+        try:
+            self.compact(major=False)
+        except Conflict:
+            return False
         return True
 
     def vacuum(self) -> list[str]:

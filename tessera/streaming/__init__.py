@@ -19,6 +19,5 @@ def ingest(stream: DataFrame, table: Table, checkpoint: str, interval: str = "1
 
     def commit(batch: DataFrame, number: int) -> None:
         table.append(mutate.checked(batch, table.schema), stamp=True, batch=(name or checkpoint, number))
-        table.maintain()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(commit)
