@@ -21,7 +21,7 @@ from ..model import Schema, split_column
 from ..operators import visibility
 from .spec import CellInterval, RowInterval, ScanSpec
 
-#: So many intervals become a predicate; more become a join with a broadcast table of them.
+#: So many intervals become a predicate; more become a tree of comparisons.
 INLINE = 64
 
 
@@ -100,15 +100,49 @@ def hull_predicate(intervals: list[RowInterval]) -> Column | None:
     return reduce(Column.__and__, parts) if parts else None
 
 
+def _after(text: str) -> str | None:
+    """The least text above all that begin with ``text``; None if there is none."""
+    while text:
+        last, text = ord(text[-1]) + 1, text[:-1]
+        if last <= 0x10FFFF:
+            return text + chr(0xE000 if 0xD800 <= last <= 0xDFFF else last)
+    return None
+
+
+def _cuts(r: RowInterval) -> tuple[tuple, tuple]:
+    """Where an interval begins and ends: below a text (0) or right behind it (1); beyond all texts is (None, 2)."""
+    if r.prefix is not None:
+        high = _after(r.prefix)
+        return (r.prefix.encode(), 0), (None, 2) if high is None else (high.encode(), 0)
+    low = (b"", 0) if r.start is None else (r.start.encode(), 0 if r.start_inclusive else 1)
+    return low, (None, 2) if r.end is None else (r.end.encode(), 1 if r.end_inclusive else 0)
+
+
 def _many_rows(cells: DataFrame, intervals: tuple[RowInterval, ...]) -> DataFrame:
-    """Range join with the intervals of a statement, whose text bounds their number."""
-    rows = [(k, r.prefix, r.start, r.start_inclusive, r.end, r.end_inclusive) for k, r in enumerate(intervals)]
-    table = cells.sparkSession.createDataFrame(rows, "ord int, __p string, __s string, __si boolean, __e string, __ei boolean")
-    row = F.col("row")
-    inside = F.when(F.col("__p").isNotNull(), F.startswith(row, F.col("__p"))).otherwise(
-        (F.col("__s").isNull() | (row > F.col("__s")) | F.col("__si") & (row == F.col("__s"))) & (F.col("__e").isNull() | (row < F.col("__e")) | F.col("__ei") & (row == F.col("__e")))
-    )
-    return cells.join(F.broadcast(table), inside).drop("__p", "__s", "__si", "__e", "__ei")
+    """The bounds cut all keys into stretches that lie in the same intervals; a tree of comparisons finds a key's stretch.
+
+    As many comparisons a cell as the number of bounds has binary digits, and no join.
+    """
+    order = lambda cut: (cut[1] == 2, cut[0] or b"", cut[1])
+    spans = [tuple(map(order, _cuts(r))) for r in intervals]
+    cuts = sorted({c for span in spans for c in span})
+    inside = [[k for k, (low, high) in enumerate(spans) if low <= c < high] for c in cuts]
+    none = F.lit(None).cast("array<int>")
+    leaf = lambda ks: F.lit(ks).cast("array<int>") if ks else none
+
+    def tree(lo: int, hi: int) -> Column:
+        """For keys from the cut before ``lo`` on and below the cut ``hi``."""
+        if lo == hi:
+            return leaf(inside[lo - 1]) if lo else none
+        mid = (lo + hi) // 2
+        beyond, text, behind = cuts[mid]
+        if beyond:
+            return tree(lo, mid)
+        key = F.lit(text.decode())
+        below = F.col("row") <= key if behind else F.col("row") < key
+        return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return cells.withColumn("__in", tree(0, len(cuts))).filter(F.col("__in").isNotNull()).withColumn("ord", F.explode("__in")).drop("__in")
 
 
 def with_intervals(cells: DataFrame, spec: ScanSpec, family_id) -> DataFrame:

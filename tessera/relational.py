@@ -28,10 +28,14 @@ def melt(rows: DataFrame, schema: Schema, row: Column, ts: Column, rev: Column,
     for name, value in values.items():
         family, _, qualifier = name.partition(":")
         f = schema.family(family)
-        parts.append(F.struct(F.lit(family).alias("cf"), F.lit(f.id).alias("cf_id"), (F.lit(qualifier) if cq is None else cq).alias("cq"), value.cast("string").alias("value")))
-    wide = rows.select(row.alias("row"), ts.alias("ts"), rev.alias("rev"), F.explode(F.array(*parts)).alias("c"))
+        own = [F.lit(qualifier).alias("cq")] if cq is None else []
+        parts.append(F.struct(F.lit(family).alias("cf"), F.lit(f.id).alias("cf_id"), *own, value.cast("string").alias("value")))
+    # what all cells of a row share stands beside the array, so that it is made once, and not at all if nobody asks for it
+    shared = {"row": row, "ts": ts, "rev": rev} | ({} if cq is None else {"cq": cq})
+    wide = rows.select(*[v.alias(k) for k, v in shared.items()], F.explode(F.array(*parts)).alias("c"))
     full = wide.filter(F.col("c.value").isNotNull())
-    return cells(full, F.col("row"), F.col("c.cf"), F.col("c.cf_id"), F.col("ts"), F.col("rev"), F.col("c.value"), F.col("c.cq"))
+    of = F.col("c.cq") if cq is None else F.col("cq")
+    return cells(full, F.col("row"), F.col("c.cf"), F.col("c.cf_id"), F.col("ts"), F.col("rev"), F.col("c.value"), of)
 
 
 def pivot(scanned: DataFrame, columns: list[str]) -> DataFrame:

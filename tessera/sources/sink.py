@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +36,29 @@ def header(display_timestamps: bool = False, keys_only: bool = False) -> str:
 
 
 def write_lines(lines: DataFrame, path: str, first: str) -> None:
-    """One text file in the folder ``path``, its header first; packed if the name ends in ``.gz``."""
-    spark = lines.sparkSession
-    whole = spark.createDataFrame([(first,)], "line string").coalesce(1).union(lines.coalesce(1)).coalesce(1)
-    whole.write.mode("overwrite").option("compression", "gzip" if path.endswith(".gz") else "none").text(path)
+    """One text file at ``path``, the line ``first`` on top; packed if the name ends in ``.gz``.
+
+    Executors write the parts, in the order of ``lines``, next to it; the driver copies
+    their bytes one after the other, which for packed parts is a packed file as well.
+    """
+    spark, packed = lines.sparkSession, path.endswith(".gz")
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(re.sub(r"^file://(?!/)", "file:///", path))
+    parts = hadoop.fs.Path(f"{target.toString()}-parts-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    lines.write.option("compression", "gzip" if packed else "none").text(parts.toString())
+    try:
+        out = fs.create(target, True)
+        head = f"{first}\n".encode()
+        out.write(bytearray(gzip.compress(head) if packed else head))
+        files = [x.getPath() for x in fs.listStatus(parts) if x.getPath().getName().startswith("part-")]
+        for file in sorted(files, key=lambda x: (len(x.getName()), x.getName())):  # numbers grow longer beyond 99,999
+            part = fs.open(file)
+            hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        out.close()
+    finally:
+        fs.delete(parts, True)
 
 
 def write_folder(scanned: DataFrame, path: str, **how) -> None:

@@ -36,14 +36,15 @@ def is_single_cell(names: list[str]) -> bool:
 def read_lines(spark: SparkSession, path: str, header_file: str | None = None) -> tuple[DataFrame, list[str]]:
     """``(value)`` lines after the header, and the header's names; ``.gz`` is unpacked by Spark."""
     where = lambda p: re.sub(r"^file://(?!/)", "file:///", p)
-    lines = spark.read.text(where(path))
     if header_file:
-        return lines, header_of(spark.read.text(where(header_file)).first()[0])
-    first = lines.first()
+        return spark.read.text(where(path)), header_of(spark.read.text(where(header_file)).first()[0])
+    first = spark.read.text(where(path)).first()
     if first is None:
         raise ParseError(f"{path} has no header")
-    # the header is the first line of each file; equal lines elsewhere are data that says the same
-    return lines.filter(F.col("value") != first[0]), header_of(first[0])
+    # the reader of separated values leaves out the first line of each file, at whatever place it splits them;
+    # separator and quote are no characters, so each line comes whole
+    whole = {"header": True, "sep": "\uffff", "quote": "\ufffe", "escape": "\ufffe"}
+    return spark.read.schema("value string").options(**whole).csv(where(path)), header_of(first[0])
 
 
 def single_cells(lines: DataFrame, names: list[str], escape: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +84,13 @@ def row_key(names: list[str], fields, parts: tuple[str, ...]) -> tuple[Column, s
     return F.concat_ws(" ", *out), used
 
 
+def random_text(n: int) -> Column:
+    """``n`` random characters of base64, six bits each."""
+    # a digest's 43 characters hold 256 bits; its 44th is padding
+    digests = [F.substring(F.base64(F.unhex(F.sha2(F.uuid(), 256))), 1, min(43, n - k)) for k in range(0, n, 43)]
+    return F.concat(*digests)
+
+
 def multi_cells(lines: DataFrame, names: list[str], options: LoadOptions = LoadOptions()) -> tuple[DataFrame, DataFrame]:
     """A cell for each field of a line but those of the key and the time; and the lines that give none, with the reason."""
     parts = F.split("value", "\t")
@@ -100,7 +108,7 @@ def multi_cells(lines: DataFrame, names: list[str], options: LoadOptions = LoadO
     if at is not None:
         reason = F.when(null(fields(at)) | ts.isNull(), "bad timestamp").otherwise(reason)
     if options.uniquify:
-        key = F.concat(key, F.lit(" "), F.substring(F.base64(F.sha2(F.concat(F.rand().cast("string"), F.uuid()), 256).cast("binary")), 1, options.uniquify))
+        key = F.concat(key, F.lit(" "), random_text(options.uniquify))
     shown = [k for k in range(len(names)) if k != at and (options.dup_key_cols or k not in used)]
     cells = F.array(*[F.struct(F.lit(names[k].partition(":")[0]).alias("cf"), F.lit(names[k].partition(":")[2]).alias("cq"), fields(k).alias("value")) for k in shown])
     judged = split.withColumns({"reason": reason, "ts": ts, "row": key, "cells": cells})
@@ -117,19 +125,21 @@ def cells_of(lines: DataFrame, names: list[str], options: LoadOptions = LoadOpti
     return multi_cells(lines, names, options)
 
 
-def read_script(lines: DataFrame) -> DataFrame:
-    """Mutations ``(row, cf, cq, ts, flag, value)`` of a script.
+def read_script(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mutations ``(row, cf, cq, ts, flag, value)`` of a script, and the lines that are none with the reason.
 
     A line is ``time|AUTO``, row, ``family[:qualifier]``, value; ``DELETE`` for the column
     deletes the row, for the value the family or, with a qualifier, the cell.
     """
     parts = F.split(F.trim("value"), "\t+")
     get = lambda k: F.get(parts, F.lit(k))
-    ts = F.when(F.upper(get(0)) != "AUTO", get(0).try_cast("long"))
-    sound = (F.size(parts) >= 3) & (get(1) != "") & ((F.upper(get(0)) == "AUTO") | ts.isNotNull())
+    auto = F.upper(get(0)) == "AUTO"
+    ts = F.when(~auto, get(0).try_cast("long"))
+    reason = F.when(F.size(parts) < 3, "too few fields").when(get(1) == "", "no row key").when(~auto & ts.isNull(), "bad timestamp")
+    judged = lines.filter(F.trim("value") != "").withColumn("reason", reason)
     whole_row, delete = get(2) == "DELETE", F.coalesce(get(3), F.lit("")) == "DELETE"
     flag = F.when(whole_row, 0).when(delete & F.contains(get(2), F.lit(":")), 2).when(delete, 1).otherwise(255)
-    return lines.filter(sound).select(
+    good = judged.filter(F.col("reason").isNull()).select(
         get(1).alias("row"),
         F.when(whole_row, "").otherwise(family_of(get(2))).alias("cf"),
         F.when(whole_row, "").otherwise(qualifier_of(get(2))).alias("cq"),
@@ -137,3 +147,4 @@ def read_script(lines: DataFrame) -> DataFrame:
         flag.cast("smallint").alias("flag"),
         F.when(flag == 255, F.coalesce(get(3), F.lit(""))).alias("value"),
     )
+    return good, judged.filter(F.col("reason").isNotNull()).select(F.col("value").alias("line"), "reason")

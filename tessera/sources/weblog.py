@@ -9,6 +9,9 @@ from ..functions import render_nanos
 
 # The line's form, and the families that a log table has.
 LINE = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[(\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2})[^\]]*\]\s+"((?:[^"\\]|\\.)*)"\s+(\S+)\s+(\S+)(?:\s+"((?:[^"\\]|\\.)*)"\s+"((?:[^"\\]|\\.)*)")?.*$'
+#: Between groups of a matched line; no line of text has it.
+MARK = "\uffff"
+SEPARATED = MARK + MARK.join(f"${k}" for k in range(1, 10))
 FAMILIES = {"ClientIpAddress": "ip_address", "UserId": "userid", "Request": "request", "ResponseCode": "response_code", "ObjectSize": "object_size", "Referer": "referer", "UserAgent": "user_agent"}
 
 
@@ -17,11 +20,13 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
     A dash or a missing field is null; lines of another form are left out.
     """
-    text = F.col(column)
-    part = lambda k: F.regexp_extract(text, LINE, k)
+    # one match a line: its groups with a mark between them, or null
+    matched = lines.select(F.regexp_replace(F.col(column), LINE, SEPARATED).alias("m")).filter(F.col("m").startswith(MARK))
+    matched = matched.select(F.split("m", MARK).alias("p"))
+    part = lambda k: F.get(F.col("p"), F.lit(k))
     known = lambda c: F.when((c != "-") & (c != ""), c)
     stamp = F.try_to_timestamp(F.concat(F.initcap(F.lpad(part(4), 20, "0")), F.lit(" UTC")), F.lit("dd/MMM/yyyy:HH:mm:ss z"))
-    rows = lines.filter(text.rlike(LINE)).select(
+    rows = matched.select(
         part(1).alias("ip_address"),
         known(part(3)).alias("userid"),
         (F.unix_micros(stamp) * 1000).alias("ts"),

@@ -144,3 +144,24 @@ def test_plans(spark, tmp_path, tables):
 def test_equal_lower_bounds_overlap():
     assert planner.overlap([RowInterval("a"), RowInterval("a", True, "b", True)]) and planner.overlap([RowInterval(), RowInterval()])
     assert not planner.overlap([RowInterval("c"), RowInterval("a", True, "b", True), RowInterval(prefix="bb")])
+
+
+def test_many_intervals_need_no_join(spark):
+    """More intervals than a predicate takes, overlapping, open, empty and prefixes: a bag union, found by comparisons alone."""
+    r = random.Random(4)
+    rows = ["".join(r.choice("abé\U0001f600z") for _ in range(r.randint(1, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in rows], "row string")
+    pick = lambda: r.choice([None, r.choice(rows), r.choice("abz")])
+    intervals = [RowInterval(pick(), r.random() < 0.5, pick(), r.random() < 0.5) for _ in range(80)]
+    intervals += [RowInterval(prefix=r.choice(rows)[: r.randint(1, 2)]) for _ in range(20)]
+
+    def holds(i, x):
+        x = x.encode()
+        if i.prefix is not None:
+            return x.startswith(i.prefix.encode())
+        low = i.start is None or x > i.start.encode() or i.start_inclusive and x == i.start.encode()
+        return low and (i.end is None or x < i.end.encode() or i.end_inclusive and x == i.end.encode())
+
+    found = planner._many_rows(df, tuple(intervals))
+    assert sorted((x.row, x.ord) for x in found.collect()) == sorted((x, k) for x in rows for k, i in enumerate(intervals) if holds(i, x))
+    assert "Join" not in physical(found)

@@ -22,9 +22,16 @@ def cells(spark, lines, header, **options):
 
 
 def test_single_cells(spark):
-    good, bad = cells(spark, ["0\trow1\tfoo:http://x/\tHow now", "5\trow2\tbar\tHancock", "7\trow3\tfoo:\tHead", "0", "soon\trow\tfoo\tv", "9\trow4\tbar\t", "1\ttail\tfoo:q\ta\\tb\tc", "2024-01-01 00:00:01\tz\tf\tv"], "timestamp\trowkey\tcolumnkey\tvalue")
-    assert good == [("row1", "foo", "http://x/", "How now", 0), ("row2", "bar", "", "Hancock", 5), ("row3", "foo", "", "Head", 7), ("tail", "foo", "q", "a\tb\tc", 1), ("z", "f", "", "v", fn.parse_datetime("2024-01-01 00:00:01"))]
-    assert bad == [("0", "too few fields"), ("soon\trow\tfoo\tv", "bad timestamp")]
+    lines = [
+        "12\tparis\tweather:noon:utc\tlight rain", "0\toslo\tmayor\tE. Lae", "-3\trome\tweather:\tdry", "4", "today\tbern\tmayor\tv",
+        "9\tkiev\tmayor\t", "1\triga\tweather:q\ta\\tb\tc", "2024-01-01 00:00:01\tzug\tmayor\tv",
+    ]
+    good, bad = cells(spark, lines, "timestamp\trowkey\tcolumnkey\tvalue")
+    assert good == [
+        ("oslo", "mayor", "", "E. Lae", 0), ("paris", "weather", "noon:utc", "light rain", 12), ("riga", "weather", "q", "a\tb\tc", 1),
+        ("rome", "weather", "", "dry", -3), ("zug", "mayor", "", "v", fn.parse_datetime("2024-01-01 00:00:01")),
+    ]
+    assert bad == [("4", "too few fields"), ("today\tbern\tmayor\tv", "bad timestamp")]
     assert cells(spark, ["r\tf:q:p\tv\\n"], "row\tcolumn\tvalue", escape=False)[0] == [("r", "f", "q:p", "v\\n", None)]
 
 
@@ -37,8 +44,11 @@ def test_multi_cells(spark):
     assert [r for _, r in bad] == ["no row key", "bad timestamp"]
     good, _ = cells(spark, rows[:1], header, row_key=("%04code", "%-4page", "%3url:ref"), dup_key_cols=True)
     assert {x[0] for x in good} == {"0200 p1     u"} and [x[1] for x in good] == ["code", "date", "page", "url"]
-    unique, _ = cells(spark, ["k\tv"] * 20, "row\tf", uniquify=5)
-    assert len({x[0] for x in unique}) == 20 and all(x[0].startswith("k ") and len(x[0]) == 7 for x in unique)
+    unique, _ = cells(spark, ["k\tv"] * 4000, "row\tf", uniquify=9)
+    assert len({x[0] for x in unique}) == 4000 and all(x[0].startswith("k ") and len(x[0]) == 11 for x in unique)
+    seen = [Counter(x[0][2 + k] for x in unique) for k in range(9)]
+    assert all(len(c) == 64 and max(c.values()) < 130 for c in seen)  # each character takes all of 64 values, about alike
+    assert {len(x[0]) for x in cells(spark, ["k\tv"] * 3, "row\tf", uniquify=100)[0]} == {102}
     with pytest.raises(ParseError):
         cells(spark, ["a"], "x", row_key=("y",))
     with pytest.raises(ParseError):
@@ -51,6 +61,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.tsv.gz").write_bytes(gzip.compress(b"#row\tf\nr\tv\n"))
     lines, names = tsv.read_lines(spark, f"{tmp_path}/a.tsv.gz")
     assert names == ["row", "f"] and [r.value for r in lines.collect()] == ["r\tv"]
+    # one line of each file is the header; equal lines further down are data, and so are quotes
+    (tmp_path / "two").mkdir()
+    for name in "ab":
+        (tmp_path / "two" / name).write_text('row\tf\n"x\t\'1\n' + "row\tf\n" * 3)
+    lines, names = tsv.read_lines(spark, f"{tmp_path}/two")
+    assert Counter(r.value for r in lines.collect()) == {"row\tf": 6, '"x\t\'1': 2}
     (tmp_path / "empty").write_text("")
     with pytest.raises(ParseError):
         tsv.read_lines(spark, f"{tmp_path}/empty")
