@@ -5,12 +5,16 @@ A test item may stand in a document with up to ``e`` edits, ``e`` being
 there unchanged; an Aho-Corasick automaton over all pieces finds every such hit
 in one pass over the whole text.  Around each hit Myers' bit-parallel algorithm
 computes the least edit distance of the item to any part of the window.
-Documents are never shuffled.  Items come in blocks of ``BLOCK_CHARS`` characters,
-each block one pass, so that what goes to an executor is bounded.
+Documents are never shuffled, and a long text is searched piece by piece.  Items come
+in blocks of ``BLOCK_CHARS`` characters, each block one pass, so that what goes to an
+executor is bounded; a worker makes a block's automaton once for all its tasks.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import lru_cache
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,12 @@ from .shared import written
 ERROR_RATE = 0.05
 #: Shorter items, by characters after folding, must stand there exactly, as whole words.
 MIN_ITEM_CHARS = 30
-BLOCK_CHARS = 8_000_000
+#: About 65 bytes of a worker's memory a character.
+BLOCK_CHARS = 2_000_000
+#: Characters of a text that are folded and searched at once.
+PIECE = 1 << 20
+#: Items whose bit vectors a worker holds at once.
+PATTERNS = 4096
 
 
 def fold(text: str | None) -> str:
@@ -74,8 +83,11 @@ def _inside(left: str, right: str) -> bool:
 
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = 0):
-        self.items, self.patterns, self.short = items, [Pattern(t) for _, t in items], [len(t) < min_chars for _, t in items]
+        self.items, self.short = items, [len(t) < min_chars for _, t in items]
         self.budgets = [0 if short else int(rate * len(t)) for short, (_, t) in zip(self.short, items)]
+        #: What a piece of a text takes over from the one before: no match is longer.
+        self.overlap = max((len(t) + 2 * e for (_, t), e in zip(items, self.budgets)), default=0)
+        self.pattern = lru_cache(PATTERNS)(lambda k: Pattern(items[k][1]))
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(items):
             for offset, piece in pieces(t, self.budgets[k]):
@@ -88,36 +100,86 @@ class Matcher:
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """``(item, distance)`` of each item that stands in ``text`` within its budget, with its least distance."""
-        folded = fold(text)
-        if not folded or not self.items:
+        best: dict[int, int] = {}
+        if not self.items:
             return []
+        for before, folded in folded_pieces(text, self.overlap):
+            self._search(before, folded, best)
+        return sorted(((self.items[k][0], d) for k, d in best.items()), key=lambda x: (x[0] is None, x))
+
+    def _search(self, before: str, folded: str, best: dict[int, int]) -> None:
+        """Lower ``best`` by what stands in a piece; ``before``: the character in front of it."""
         windows: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(folded):
             for k, offset in places:
-                start = end + 1 - length - offset
-                if self.short[k] and (start and _inside(folded[start - 1], folded[start]) or _inside(folded[end], folded[end + 1 : end + 2])):
+                if best.get(k) == 0:
                     continue
-                e = self.budgets[k]
-                lo, hi = max(0, start - e), min(len(folded), start + self.patterns[k].m + e)
-                windows.setdefault(k, []).append([lo, hi, start])
-        found = []
+                start, item = end + 1 - length - offset, self.items[k][1]
+                if self.short[k]:
+                    left = folded[start - 1] if start else before
+                    if not _inside(left, folded[start]) and not _inside(folded[end], folded[end + 1 : end + 2]):
+                        best[k] = 0
+                    continue
+                if not offset and folded.startswith(item, start):
+                    best[k] = 0
+                    continue
+                e, held = self.budgets[k], windows.setdefault(k, [])
+                lo, hi = max(0, start - e), min(len(folded), start + len(item) + e)
+                if held and held[-1][0] <= lo <= held[-1][1]:  # hits of a piece come in order: their windows grow together
+                    held[-1][1] = max(hi, held[-1][1])
+                else:
+                    held.append([lo, hi])
         for k, spans in windows.items():
-            best, pattern, item = self.budgets[k] + 1, self.patterns[k], self.items[k][1]
-            if any(folded.startswith(item, s[2]) for s in spans if s[2] >= 0):
-                best = 0
-            else:
-                spans.sort()
-                merged = [spans[0][:2]]
-                for lo, hi, _ in spans[1:]:
-                    if lo <= merged[-1][1]:
-                        merged[-1][1] = max(hi, merged[-1][1])
-                    else:
-                        merged.append([lo, hi])
-                for lo, hi in merged:
-                    best = min(best, pattern.best(folded[lo:hi])[0])
-            if best <= self.budgets[k]:
-                found.append((self.items[k][0], best))
-        return sorted(found, key=lambda x: (x[0] is None, x))
+            if best.get(k) == 0:
+                continue
+            spans.sort()
+            merged = [spans[0]]
+            for lo, hi in spans[1:]:
+                if lo <= merged[-1][1]:
+                    merged[-1][1] = max(hi, merged[-1][1])
+                else:
+                    merged.append([lo, hi])
+            pattern = self.pattern(k)
+            d = min(pattern.best(folded[lo:hi])[0] for lo, hi in merged)
+            if d <= self.budgets[k]:
+                best[k] = min(d, best.get(k, d))
+
+
+def folded_pieces(text: str | None, overlap: int):
+    """``(character before, piece)`` of the folded text, each with ``overlap`` characters of the one before in front."""
+    text = text or ""
+    if len(text) <= PIECE:
+        folded = fold(text)
+        if folded:
+            yield "", folded
+        return
+    kept, before, at = "", "", 0
+    while at < len(text):
+        end = at + PIECE
+        # a cut before white space, so that no word is cut; a longer word is searched whole
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        more = fold(text[at:end])
+        at = end
+        if not more:
+            continue
+        whole = f"{kept} {more}" if kept else more
+        yield before, whole
+        cut = max(0, len(whole) - overlap)
+        before = whole[cut - 1] if cut else before
+        kept = whole[cut:]
+
+
+_matchers: dict = {}
+
+
+def _matcher(shared, rate: float, min_chars: int) -> Matcher:
+    """The block's matcher, which the worker keeps until it gets another block."""
+    key = (shared.value[0], rate, min_chars)
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(shared.value[1], rate, min_chars)
+    return _matchers[key]
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool):
@@ -143,9 +205,9 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool):
 
 def _matched(shared, rate: float, min_chars: int):
     def run(batches):
-        matcher = Matcher(shared.value, rate, min_chars)
+        matcher = _matcher(shared, rate, min_chars)
         for b in batches:
-            rows = [(key, *m) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matcher.matches(text)]
+            rows = [(key.as_py(), *m) for key, text in zip(b.column(0), b.column(1)) for m in matcher.matches(text.as_py())]
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["doc_id", "item_id", "distance"])
 
@@ -166,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind, out = "doc_id long, item_id long, distance int", None
     for block in _items(benchmark, item_col, item_text, False):
-        found = rows.mapInArrow(_matched(spark.sparkContext.broadcast(block), rate, min_chars), kind)
+        found = rows.mapInArrow(_matched(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), rate, min_chars), kind)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], kind) if out is None else out
 
@@ -176,10 +238,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     out = docs
     for block in _items(benchmark, item_col, item_text, True):
 
-        def run(batches, shared=docs.sparkSession.sparkContext.broadcast(block)):
-            matcher = Matcher(shared.value, rate, min_chars)
+        def run(batches, shared=docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))):
+            matcher = _matcher(shared, rate, min_chars)
             for b in batches:
-                clean = np.array([not matcher.matches(t) for t in b.column(text_col).to_pylist()], bool)
+                clean = np.array([not matcher.matches(t.as_py()) for t in b.column(text_col)], bool)
                 yield b.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, fresh, written
 
-#: A line on more than this part of its host's pages goes ...
+#: A line on more than this part of its host's pages goes, whatever the host's size.
 RATIO = 0.02
-#: ... if it stands on so many of them and the host has so many.
-MIN_PAGES_WITH_LINE, MIN_HOST_PAGES = 3, 20
+#: A line that stands on one page repeats nothing, whatever part of a small host that page is.
+REPEATED = 2
 
 
 def _lines(text: Column) -> Column:
@@ -28,45 +28,55 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_with_line: int = MIN_PAGES_WITH_LINE, min_host: int = MIN_HOST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """``(site, gone)``: of each host, the hashes of its boilerplate lines."""
     rows = docs.select(F.col(host_col).alias("site"), F.col(text_col).alias("text"))
     pages = rows.groupBy("site").agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     seen = rows.select("site", F.explode(keys).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
-    often = written(seen.filter(F.col("n") >= min_with_line), "often")
-    sites = written(pages.filter(F.col("pages") >= min_host).withColumnRenamed("site", "of"), "sites")
+    often = written(seen.filter(F.col("n") >= REPEATED), "often")
+    sites = written(pages.withColumnRenamed("site", "of"), "sites")
     found = often.join(sites, F.col("site").eqNullSafe(F.col("of"))).filter(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return written(found.groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("gone")), "boilerplate")
+    out = written(found.groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("gone")), "boilerplate")
+    discard(often, sites)
+    return out
 
 
 def _kept(text: Column, gone: Column) -> Column:
     """The lines of ``text`` that aren't boilerplate, as an array."""
-    return F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(gone, _key(x)))
+    # by hashing, those of the host's lines that this page has; each line is held against these few
+    own = F.array_intersect(F.transform(_lines(text), _key), gone)
+    return F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(own, _key(x)))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """``docs`` without the boilerplate lines of each document's host.
 
     Lines end at ``\\n``, are compared without spaces around them, and count once a
     page; blank lines always stay.  What stays is joined again by ``\\n``.  All
     documents and columns stay: a text of nothing but boilerplate becomes empty,
     null stays null, ``n_chars``, where there is such a column, follows the text.
+    A line goes if it stands on more than ``ratio`` of its host's pages and on two of
+    them at least; nothing depends on how many pages the host has, so on one of fewer than
+    ``1 / ratio`` pages every line that repeats goes.
     A null host is a host of its own.  Repeated rows count as pages.  Lines are
     told apart by 64-bit hashes within a host.
     """
-    gone = boilerplate(docs, host_col, text_col, **limits).select(F.col("site").alias("__site"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, docs[host_col].eqNullSafe(gone["__site"]), "left")
-    clean = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(_kept(F.col(text_col), F.col("__gone")), "\n"))
+    site_, gone_ = fresh(docs, "site", "gone")
+    gone = boilerplate(docs, host_col, text_col, ratio).select(F.col("site").alias(site_), F.col("gone").alias(gone_))
+    both = docs.join(gone, docs[host_col].eqNullSafe(gone[site_]), "left")
+    none = F.col(gone_).isNull()
+    clean = F.when(none, F.col(text_col)).otherwise(F.array_join(_kept(F.col(text_col), F.col(gone_)), "\n"))
     out = both.withColumn(text_col, clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(dict(docs.dtypes)["n_chars"])))
+        counted = F.length(text_col).cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn("n_chars", F.when(none | F.col(text_col).isNull(), F.col("n_chars")).otherwise(counted))
     return out.select(*[F.col(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """``(doc_id, text, n_lines, n_dropped)`` after :func:`drop_boilerplate`, a row for each document."""
-    gone = boilerplate(docs, host_col, text_col, **limits)
+    gone = boilerplate(docs, host_col, text_col, ratio)
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("of"), F.col(text_col).alias("text"))
     both = raw.join(gone, F.col("of").eqNullSafe(F.col("site")), "left")
     lines = _lines(F.col("text"))

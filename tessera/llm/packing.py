@@ -92,18 +92,23 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of ``text`` and END."""
         text, parts, at = text or "", [], 0
+        encoded = lambda a, b: np.array(self.encoding.encode_ordinary(text[a:b]), np.uint16)
         while len(text) - at > PART:
-            cut = text.rfind(" ", at + 1, at + PART)
-            # only a single space between other characters is a cut of the pattern for sure
-            while cut > at and (text[cut - 1].isspace() or text[cut + 1].isspace()):
-                cut = text.rfind(" ", at + 1, cut)
-            if cut <= at:
+            cut = self._cut(text, at + PART)
+            if cut < 0:
                 break
-            parts += self.encoding.encode_ordinary(text[at:cut])
+            parts.append(encoded(at, cut))
             at = cut
-        parts += self.encoding.encode_ordinary(text[at:])
-        parts.append(END)
-        return np.array(parts, np.uint16)
+        return np.concatenate([*parts, encoded(at, len(text)), np.array([END], np.uint16)])
+
+    @staticmethod
+    def _cut(text: str, at: int) -> int:
+        """The next place where the pattern cuts for sure: a single space between other characters; -1 if there is none."""
+        while (at := text.find(" ", at)) >= 0:
+            if at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace():
+                return at
+            at += 1
+        return -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LE
     def run(batches):
         encoder, keys, held, tokens = Encoder(*shared.value), [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
                 ids = encoder.ids(text)
                 keys.append(key)
                 held.append(ids)

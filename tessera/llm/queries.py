@@ -95,7 +95,7 @@ WITH lines AS (
 often AS (
   SELECT l.source, trim(l.line) AS line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
   WHERE trim(l.line) <> '' GROUP BY l.source, trim(l.line), p.pages
-  HAVING count(DISTINCT l.doc_id) >= {linededup.MIN_PAGES_WITH_LINE} AND p.pages >= {linededup.MIN_HOST_PAGES}
+  HAVING count(DISTINCT l.doc_id) >= {linededup.REPEATED}
     AND count(DISTINCT l.doc_id) > {linededup.RATIO}::DOUBLE * p.pages
 ), judged AS (
   SELECT l.*, o.line IS NOT NULL AS gone FROM lines l

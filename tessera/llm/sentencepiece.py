@@ -26,6 +26,8 @@ SPACE, UNKNOWN_PENALTY = "▁", 10.0
 REMEMBER = 300_000
 #: Characters of a unit that is worth remembering.
 SHORT = 64
+#: Characters of a text that are cut into units at once, and of a unit that are open at once.
+PART, SPAN = 1 << 20, 1 << 16
 #: Tokens of an output batch.
 BATCH_TOKENS = 1 << 20
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,6 +66,7 @@ class Codec:
         for i in plain:
             self.automaton.add_word(pieces[i], (len(pieces[i]), scores[i], i))
         self.automaton.make_automaton()
+        self.longest = max((len(pieces[i]) for i in plain), default=1)
         self.unknown_score = min((scores[i] for i in plain), default=0.0) - UNKNOWN_PENALTY
         # units are cut before a run of marks; that is exact only if no piece crosses such a place
         self.by_units = not any(SPACE in pieces[i].lstrip(SPACE) for i in plain)
@@ -75,6 +78,8 @@ class Codec:
 
         Of equal scores, the first found wins: the longer last piece.
         """
+        if len(unit) > SPAN:
+            return self._segment_long(unit)
         n, bad = len(unit), self.unknown_score
         best, back, ids, passed = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1), [True] + [False] * n
         at = 1
@@ -84,7 +89,7 @@ class Codec:
                 if not passed[k]:
                     score = best[k - 1] + bad
                     if score > best[k]:
-                        best[k], back[k], ids[k] = score, k - 1, -1
+                        best[k], back[k], ids[k] = score, 1, -1
 
         for end, (length, score, i) in self.automaton.iter(unit):
             end += 1
@@ -95,18 +100,82 @@ class Codec:
                 passed[end] = True
             score += best[end - length]
             if score > best[end]:
-                best[end], back[end], ids[end] = score, end - length, i
+                best[end], back[end], ids[end] = score, length, i
         settle(n + 1, at)
-        out, end = [], n
+        return self._read(unit, 0, n, back, ids)
+
+    def _segment_long(self, unit: str) -> bytes:
+        """:meth:`segment` for a unit of any length.
+
+        Every ``SPAN`` positions, what all segmentations still open have in common is
+        settled and forgotten, so the unit takes little more than its ids.
+        """
+        bad, longest = self.unknown_score, self.longest
+        # of each position from ``base`` on: the best score, the length and id of its last piece, and whether it can do without a penalty
+        low, base, done = float("-inf"), 0, bytearray()
+        room = min(len(unit) + 1, SPAN + longest + 1)
+        best, back, ids, passed = array("d", [low]) * room, array("i", bytes(4 * room)), array("i", [-1]) * room, bytearray(room)
+        best[0], passed[0] = 0.0, 1
+        at = 1  # positions before it are final
+        for end, found in self._ends(unit):
+            end -= base
+            if end >= len(best):
+                more = min(len(unit) + 1 - base, max(end + longest, 2 * len(best))) - len(best)
+                best.extend(array("d", [low]) * more)
+                back.extend(array("i", bytes(4 * more)))
+                ids.extend(array("i", [-1]) * more)
+                passed.extend(bytes(more))
+            for k in range(at, end if found else end + 1):
+                if not passed[k]:
+                    score = best[k - 1] + bad
+                    if score > best[k]:
+                        best[k], back[k], ids[k] = score, 1, -1
+            at = max(at, end if found else end + 1)
+            if found:
+                length, score, i = found
+                if length == 1:
+                    passed[end] = 1
+                score += best[end - length]
+                if score > best[end]:
+                    best[end], back[end], ids[end] = score, length, i
+            if at > SPAN + longest:
+                common = self._common(back, at - longest - 1, at - 1)
+                if common:
+                    done += self._read(unit, base, common, back, ids)
+                    for x in (best, back, ids, passed):
+                        del x[:common]
+                    base, at = base + common, at - common
+        return bytes(done + self._read(unit, base, len(unit) - base, back, ids))
+
+    def _ends(self, unit: str):
+        """``(end, piece)`` of the pieces in ``unit``, and at last its own end."""
+        for end, found in self.automaton.iter(unit):
+            yield end + 1, found
+        yield len(unit), None
+
+    @staticmethod
+    def _common(back: array, lo: int, hi: int) -> int:
+        """The last position that the best ways to all of ``lo`` to ``hi`` have passed."""
+        open_ = set(range(max(lo, 0), hi + 1))
+        while len(open_) > 1:
+            k = max(open_)
+            if not back[k]:
+                return 0
+            open_.remove(k)
+            open_.add(k - back[k])
+        return open_.pop()
+
+    def _read(self, unit: str, base: int, end: int, back, ids) -> bytes:
+        out = array("i")
         while end:
-            start = back[end]
+            start = end - back[end]
             if ids[end] >= 0:
                 out.append(ids[end])
             else:
-                out.extend(self.bytes.get(b, self.unknown) for b in reversed(unit[start:end].encode("utf-8", "replace")))
+                out.extend(self.bytes.get(b, self.unknown) for b in reversed(unit[base + start : base + end].encode("utf-8", "replace")))
             end = start
         out.reverse()
-        return array("i", out).tobytes()
+        return out.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of ``text`` as 32-bit integers; none for null and empty."""
@@ -114,18 +183,29 @@ class Codec:
             return b""
         if not self.by_units:
             return self.segment(SPACE + text.replace(" ", SPACE))
-        known, get, parts = self.known, self.known.get, []
-        words = text.split(" ") if "  " not in text and SPACE not in text and text[0] != " " else [u[1:] for u in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
-        for w in words:
-            ids = get(w)
-            if ids is None:
-                ids = self.segment(SPACE + w)
-                if len(w) <= SHORT:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[w] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        known, get, out, at = self.known, self.known.get, bytearray(), 0
+        while at < len(text):
+            # a part ends before a run of spaces; the first begins with the space put before it, the others with their own
+            end = at + PART
+            end = len(text) if end >= len(text) else text.find(" ", end)
+            while end > 0 and text[end - 1] == " ":
+                end -= 1
+            end = len(text) if end <= at else end
+            part, at = text[at:end] if at else " " + text[:end], end
+            if "  " in part or SPACE in part:
+                words = [u[1:] for u in re.findall(f"{SPACE}+[^{SPACE}]*", part.replace(" ", SPACE))]
+            else:
+                words = part[1:].split(" ")
+            for w in words:
+                ids = get(w)
+                if ids is None:
+                    ids = self.segment(SPACE + w)
+                    if len(w) <= SHORT:
+                        if len(known) >= REMEMBER:
+                            known.clear()
+                        known[w] = ids
+                out += ids
+        return bytes(out)
 
     def decode(self, ids) -> str:
         """The text of ``ids``; the space put before it goes."""
@@ -144,7 +224,7 @@ def _run(shared):
     def run(batches):
         codec, rows, held = Codec(shared.value), [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
                 ids = codec.encode(text)
                 back = codec.decode(memoryview(ids).cast("i"))
                 rows.append((key, ids, zlib.crc32(back.encode()), back == (text or "")))

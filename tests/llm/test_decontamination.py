@@ -86,3 +86,20 @@ def test_short_and_nameless_items(spark, make_docs, words):
     docs = make_docs(rows)
     assert sorted(tuple(r) for r in de.contaminated(docs, benchmark).collect()) == [(1, 1, 0), (3, 2, 0), (7, 2, 0), (8, 2, 0)]
     assert sorted(r.doc_id for r in de.drop_contaminated(docs, benchmark).collect()) == [2, 5, 6]
+
+
+def test_pieces_of_a_text_give_the_same(words, monkeypatch):
+    """Whatever the size of pieces: items across cuts, short ones beside them, hits without number, one long word."""
+    r = random.Random(8)
+    items = [(k, de.fold(words(15, 700 + k))) for k in range(6)] + [(9, "cat"), (10, "ab " * 20 + "ab")]
+    texts = []
+    for i in range(30):
+        parts = [words(r.randint(0, 40), i), edited(items[i % 6][1], r.randint(0, 5), r), "bobcat" if i % 2 else "cat", words(9, i + 99)]
+        texts.append(" \n ".join(parts))
+    texts += ["ab " * 3000, "x" * 4000 + " cat", "x" * 4000 + "cat", " " * 3000 + "cat"]
+    matcher = de.Matcher(items, de.ERROR_RATE, 10)
+    want = [matcher.matches(t) for t in texts]
+    assert sum(map(len, want)) > 30
+    for size in (7, 64, 301):
+        monkeypatch.setattr(de, "PIECE", size)
+        assert [matcher.matches(t) for t in texts] == want

@@ -77,3 +77,40 @@ def test_documents(spark, make_docs):
     back = sp.decode_documents(sp.encode_documents(docs)).collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in back))) == sorted(map(str, ((d, t or "") for d, t in rows)))
     assert sp.encode_documents(make_docs([])).collect() == []
+
+
+def test_cuts_change_nothing(codec, words, monkeypatch):
+    """Parts and open spans of any size give the same ids; runs of spaces and marks at the cuts included."""
+    r = __import__("random").Random(3)
+    texts = [*TEXTS, words(300, 2), "".join(r.choice("abcdefgh漢字x😀") for _ in range(3000)), "a  b   c " * 50, " " * 70 + "x" + " " * 70, f"{sp.SPACE} a{sp.SPACE}b " * 30, "the" * 900]
+    want = [codec.encode(t) for t in texts]
+    for part, span in ((1, 1), (5, 40), (64, 200)):
+        monkeypatch.setattr(sp, "PART", part)
+        monkeypatch.setattr(sp, "SPAN", span)
+        codec.known.clear()
+        assert [codec.encode(t) for t in texts] == want
+
+
+UNBROKEN = """
+import resource, sys
+sys.path.insert(0, {root!r})
+from tessera.llm import sentencepiece as sp
+codec = sp.Codec(sp.read_vocabulary())
+text = "thequickbrownfoxjumps" * 238_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = codec.encode(text)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, len(ids) // 4)
+"""
+
+
+def test_a_long_unbroken_text_takes_bounded_memory():
+    """Five million characters without a space: the ids, their copies and the text with its mark take less than 64 MB."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", UNBROKEN.format(root=root)], capture_output=True, text=True, timeout=280)
+    assert done.returncode == 0, done.stderr
+    kb, n = map(int, done.stdout.split()[-2:])
+    assert kb < 64 * 1024 and n > 500_000
