@@ -2,19 +2,23 @@
 
 Evidence is the sum of log-odds of binned text features, learnt by grouped counts
 of labelled documents.  It gives each document a probability; sites are judged by
-grouped sums of those (labels where there are any): a host's rate is drawn towards
-the global rate, a section's towards its host's, each by a prior worth as many
-documents as the spread between sites supports (method of moments).  A document's
-final log-odds are its evidence with its section's rate for the prior.  All
-sums are of whole millionths, so they don't depend on the order of rows.
+grouped sums of those: a host's rate is drawn towards the global rate, a section's
+towards its host's, each by a prior worth as many documents as the spread between
+sites supports (method of moments).  A document's final log-odds are its evidence
+with, for the prior, the rate that the other documents of its section and host give:
+its own probability is taken out of both sums, so that its evidence counts once.
+All sums are of whole millionths, so they don't depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, fresh, written
 
 #: Bins a feature, and a fixed width of a bin for each.
 BINS = 20
@@ -72,9 +76,12 @@ def train(rows: DataFrame, labels: DataFrame) -> list[list[float]]:
     counts = known.select("label", F.posexplode("f").alias("k", "bin")).groupBy("k", "bin", "label").agg(F.count("*").alias("n")).collect()
     n = {(r["k"], r["bin"], r["label"]): r["n"] for r in counts}
     total = [sum(n.get((0, b, y), 0) for b in range(BINS)) for y in (0, 1)]
-    import math
 
-    return [[round(math.log((n.get((k, b, 1), 0) + 1) / (total[1] + BINS)) - math.log((n.get((k, b, 0), 0) + 1) / (total[0] + BINS)), 6) for b in range(BINS)] for k in range(len(NAMES))] + [[round(math.log((total[1] + 1) / (total[0] + 1)), 6)]]
+    def share(k: int, b: int, label: int) -> float:
+        return math.log((n.get((k, b, label), 0) + 1) / (total[label] + BINS))
+
+    odds = [[round(share(k, b, 1) - share(k, b, 0), 6) for b in range(BINS)] for k in range(len(NAMES))]
+    return odds + [[round(math.log((total[1] + 1) / (total[0] + 1)), 6)]]
 
 
 def _stored() -> list[Column]:
@@ -120,68 +127,89 @@ def _weight(groups: DataFrame, parent: str) -> float:
     return min(max(round(mean_variance / spread - 1, 6), WEIGHTS[0]), WEIGHTS[1])
 
 
-def _posteriors(scored: DataFrame, prior: float) -> tuple[DataFrame, float]:
-    """``(host, section, rate)`` and the global rate.  ``scored(host, section, y)``: y in millionths."""
+@dataclass(frozen=True)
+class Sites:
+    """Sums of probabilities in millionths ``s`` and numbers ``n`` of sections and hosts, and how they are shrunk."""
+
+    table: DataFrame  # (of, part, s, n, host_s, host_n)
+    mean: float
+    host_weight: float
+    section_weight: float
+
+    def rate(self, own: Column | int, one: int, name=lambda c: F.col(c)) -> Column:
+        """A section's rate without ``one`` document of probability ``own``, drawn towards its host's without it, and that towards the mean."""
+        m, w = F.lit(self.host_weight), F.lit(self.section_weight)
+        host = ((name("host_s") - own) / UNIT + m * F.lit(self.mean)) / (name("host_n") - one + m)
+        rate = ((name("s") - own) / UNIT + w * host) / (name("n") - one + w)
+        return F.greatest(F.least(rate, F.lit(1 - 1e-6)), F.lit(1e-6))
+
+
+def _sites(scored: DataFrame, prior: float) -> Sites:
+    """Grouped sums of ``scored(host, section, y)``, y in millionths; ``prior``: the mean where there is no row."""
     cells = written(scored.groupBy("host", "section").agg(F.sum("y").alias("s"), F.count("*").alias("n")), "sections")
     total = cells.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = min(max(total["s"] / UNIT / total["n"], 1e-6), 1 - 1e-6) if total["n"] else prior
-    hosts = cells.groupBy(F.col("host").alias("of")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    hosts = written(hosts.withColumn("mean", F.lit(mean)), "hosts")
-    m = _weight(hosts, "mean")
-    # add-one at the very top keeps rates off 0 and 1
-    hosts = hosts.select("of", ((F.col("s") / UNIT + F.lit(m) * F.lit(mean)) / (F.col("n") + F.lit(m))).alias("host_rate"))
-    joined = written(cells.join(hosts, F.col("host") == F.col("of")).select("host", "section", "s", "n", "host_rate"), "rates")
-    m = _weight(joined, "host_rate")
-    rate = (F.col("s") / UNIT + F.lit(m) * F.col("host_rate")) / (F.col("n") + F.lit(m))
-    rate = F.greatest(F.least(rate, F.lit(1 - 1e-6)), F.lit(1e-6))
-    return written(joined.select(F.col("host").alias("of"), F.col("section").alias("part"), rate.alias("rate")), "posteriors"), mean
+    hosts = cells.groupBy(F.col("host").alias("own")).agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"))
+    hosts = written(hosts, "hosts")
+    m = _weight(hosts.select(F.col("host_s").alias("s"), F.col("host_n").alias("n"), F.lit(mean).alias("mean")), "mean")
+    both = cells.join(hosts, F.col("host") == F.col("own")).drop("own")
+    table = written(both.withColumnsRenamed({"host": "of", "section": "part"}), "sites")
+    host_rate = (F.col("host_s") / UNIT + F.lit(m) * F.lit(mean)) / (F.col("host_n") + F.lit(m))
+    w = _weight(table.select("s", "n", host_rate.alias("host_rate")), "host_rate")
+    discard(cells, hosts)
+    return Sites(table, mean, m, w)
+
+
+def _probability(odds: Column, rate: Column) -> Column:
+    return F.round(1 / (1 + F.exp(-(odds + F.log(rate / (1 - rate))))), 6)
 
 
-def _probability(bins: list[Column], rate: Column, model) -> Column:
-    odds = evidence(bins, model) + F.log(rate / (1 - rate))
-    return F.round(1 / (1 + F.exp(-odds)), 6)
+def _guess(odds: Column, model) -> Column:
+    """A document's probability in millionths, by its evidence and the labels' own odds."""
+    return F.round(1 / (1 + F.exp(-(odds + F.lit(model[-1][0])))) * UNIT).cast("long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality"):
-    """The evidence model, the sections' posteriors, the global rate, and the features of each document."""
+    """The evidence model, the sites, and the features of each document."""
     rows = written(_prepared(docs, text_col, source_col, lang_col, F.col(id_col).alias("doc_id")), "features")
-    one = written(_one_label(labels, id_col, label_col), "known")
-    model = train(rows, one)
-    prior = 1 / (1 + 2.718281828459045 ** -model[-1][0])
-    guess = F.round(1 / (1 + F.exp(-(evidence(_stored(), model) + F.lit(model[-1][0])))) * UNIT).cast("long")
-    known = rows.join(one.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
-    scored = known.select("host", "section", F.coalesce(F.col("label") * UNIT, guess).cast("long").alias("y"))
-    sites, mean = _posteriors(scored, prior)
-    return model, sites, mean, rows
+    model = train(rows, _one_label(labels, id_col, label_col))
+    scored = rows.select("host", "section", _guess(evidence(_stored(), model), model).alias("y"))
+    return model, _sites(scored, 1 / (1 + math.exp(-model[-1][0]))), rows
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, host, section, p_doc, site_rate, p_good, keep)`` for each row of ``docs``.
 
     ``p_doc`` is the probability by evidence with the global rate for the prior,
-    ``site_rate`` the section's posterior, ``p_good`` the probability by both; a
-    document is kept at ``threshold`` or more.  Null and empty texts are judged as
-    texts of no characters, a null source is a host of its own.  Labels other than
-    0 and 1 are ignored, the lower of several counts, and without any the evidence
-    is nil and the prior even, so that everything is kept.  Repeated rows get a row
-    each; an empty table gives an empty result.
+    ``site_rate`` the section's posterior, ``p_good`` the probability by evidence with
+    the posterior of the section's other documents; a document is kept at ``threshold``
+    or more.  Null and empty texts are judged as texts of no characters, a null source
+    is a host of its own.  Labels other than 0 and 1 are ignored, the lower of several
+    counts, and without any the evidence is nil and the prior even, so that everything is
+    kept.  Repeated rows get a row each; an empty table gives an empty result.
     """
-    model, sites, mean, rows = fit(docs, labels, id_col, text_col, source_col, lang_col, label_col)
-    judged = rows.join(sites, (F.col("host") == F.col("of")) & (F.col("section") == F.col("part")), "left")
-    rate = F.coalesce("rate", F.lit(mean))
-    p = _probability(_stored(), rate, model)
-    return judged.select("doc_id", "host", "section", _probability(_stored(), F.lit(mean), model).alias("p_doc"), F.round(rate, 6).alias("site_rate"), p.alias("p_good"), (p >= threshold).alias("keep"))
+    model, sites, rows = fit(docs, labels, id_col, text_col, source_col, lang_col, label_col)
+    known = rows.select("doc_id", "host", "section", evidence(_stored(), model).alias("odds"))
+    judged = known.join(sites.table, (F.col("host") == F.col("of")) & (F.col("section") == F.col("part")))
+    p = _probability(F.col("odds"), sites.rate(_guess(F.col("odds"), model), 1))
+    p_doc = _probability(F.col("odds"), F.lit(sites.mean)).alias("p_doc")
+    out = judged.select("doc_id", "host", "section", p_doc, F.round(sites.rate(0, 0), 6).alias("site_rate"), p.alias("p_good"))
+    return out.withColumn("keep", F.col("p_good") >= threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with all their columns.
 
-    Texts are not shuffled where Spark broadcasts the sections' rates, a row each.
+    Texts are not shuffled where Spark broadcasts the sites' sums, a row a section.
     """
-    model, sites, mean, _ = fit(docs, labels, id_col, text_col, source_col, lang_col, label_col)
-    named = sites.select(F.col("of").alias("__host"), F.col("part").alias("__section"), F.col("rate").alias("__rate"))
+    model, sites, rows = fit(docs, labels, id_col, text_col, source_col, lang_col, label_col)
+    discard(rows)
+    *own, odds = fresh(docs, "of", "part", "s", "n", "host_s", "host_n", "odds")
+    names = dict(zip(("of", "part", "s", "n", "host_s", "host_n"), own))
+    named = sites.table.select(*[F.col(c).alias(names[c]) for c in names])
     host, section = _site(F.col(source_col), F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string"))
-    both = docs.join(named, (host == F.col("__host")) & (section == F.col("__section")), "left")
     f = features(F.col(text_col))
-    p = _probability([f[k] for k in NAMES], F.coalesce("__rate", F.lit(mean)), model)
-    return both.filter(p >= threshold).select(*[F.col(c) for c in docs.columns])
+    measured = docs.withColumn(odds, evidence([f[k] for k in NAMES], model))
+    both = measured.join(named, (host == F.col(names["of"])) & (section == F.col(names["part"])))
+    rate = sites.rate(_guess(F.col(odds), model), 1, lambda c: F.col(names[c]))
+    return both.filter(_probability(F.col(odds), rate) >= threshold).select(*[F.col(c) for c in docs.columns])

@@ -125,6 +125,12 @@ def _weight_sql(groups: str, parent: str) -> str:
         sum(n) AS total, sum(n) - sum(n * n) / sum(n) AS free, count(*) AS g FROM {groups})"""
 
 
+def _rate_sql(own: str, one: str) -> str:
+    """A section's shrunk rate without ``one`` document of probability ``own``."""
+    host = f"((host_s - {own}) / {_U} + (FROM m1) * mean) / (host_n - {one} + (FROM m1))"
+    return f"greatest(least(((s - {own}) / {_U} + (FROM m2) * ({host})) / (n - {one} + (FROM m2)), 1 - 1e-6), 1e-6)"
+
+
 _SOURCE = "coalesce(source, '')"
 _gone = lambda chars: f"(length(t) - length(translate(t, {chars}, '')))"
 _bin = lambda x: f"CAST(least(floor({x}), {quality.BINS - 1}) AS INTEGER)"
@@ -156,21 +162,24 @@ odds AS (
 ), ev AS (
   SELECT doc_id, host, section, greatest(least(0.0::DOUBLE + {" + ".join(f"(SELECT o FROM odds WHERE k = {k})[f[{k}] + 1]" for k in range(1, _K + 1))}, {quality.EVIDENCE_LIMIT}), -{quality.EVIDENCE_LIMIT}) AS ev,
     (SELECT round(ln((good + 1) / (bad + 1)), 6) FROM total) AS prior FROM f
-), cells AS (
-  SELECT host, section, sum(coalesce(label * {quality.UNIT}, CAST(round(1 / (1 + exp(-(ev + prior))) * {_U}) AS BIGINT))) AS s, count(*) AS n
-  FROM ev LEFT JOIN known USING (doc_id) GROUP BY host, section
-), mean AS (SELECT least(greatest(sum(s) / {_U} / sum(n), 1e-6), 1 - 1e-6) AS mean FROM cells),
+), guessed AS (
+  SELECT *, CAST(round(1 / (1 + exp(-(ev + prior))) * {_U}) AS BIGINT) AS y FROM ev
+), cells AS (SELECT host, section, sum(y) AS s, count(*) AS n FROM guessed GROUP BY host, section),
+mean AS (SELECT least(greatest(sum(s) / {_U} / sum(n), 1e-6), 1 - 1e-6) AS mean FROM cells),
 hosts AS (SELECT host, sum(s) AS s, sum(n) AS n, any_value(mean) AS mean FROM cells, mean GROUP BY host),
 m1 AS ({_weight_sql("hosts", "mean")}),
-host_rates AS (SELECT host, (s / {_U} + (FROM m1) * mean) / (n + (FROM m1)) AS host_rate, mean FROM hosts),
-sections AS (SELECT host, section, s, n, host_rate, mean FROM cells JOIN host_rates USING (host)),
+sections AS (
+  SELECT cells.host, section, cells.s, cells.n, hosts.s AS host_s, hosts.n AS host_n, mean,
+    (hosts.s / {_U} + (FROM m1) * mean) / (hosts.n + (FROM m1)) AS host_rate FROM cells JOIN hosts USING (host)
+),
 m2 AS ({_weight_sql("sections", "host_rate")}),
 rates AS (
-  SELECT host, section, mean, greatest(least((s / {_U} + (FROM m2) * host_rate) / (n + (FROM m2)), 1 - 1e-6), 1e-6) AS rate FROM sections
+  SELECT doc_id, host, section, ev, mean, {_rate_sql("0", "0")} AS site_rate, {_rate_sql("y", "1")} AS rate
+  FROM guessed JOIN sections USING (host, section)
 )
-SELECT doc_id, host, section, {_p("mean")} AS p_doc, round(rate, 6) AS site_rate, {_p("rate")} AS p_good,
+SELECT doc_id, host, section, {_p("mean")} AS p_doc, round(site_rate, 6) AS site_rate, {_p("rate")} AS p_good,
   {_p("rate")} >= {quality.THRESHOLD} AS keep
-FROM ev JOIN rates USING (host, section)
+FROM rates
 """
 
 

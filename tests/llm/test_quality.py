@@ -30,8 +30,10 @@ def test_held_out_accuracy(spark, make_docs, words):
 def test_shrinkage_against_plain_version(spark):
     r = random.Random(2)
     rows = [(f"h{r.randrange(5)}", f"s{r.randrange(3)}", r.choice([0, 200_000, 1_000_000])) for _ in range(400)] + [("rare", "one", 0)]
-    table, mean = quality._posteriors(spark.createDataFrame(rows, "host string, section string, y long"), 0.5)
+    sites = quality._sites(spark.createDataFrame(rows, "host string, section string, y long"), 0.5)
+    mean, table = sites.mean, sites.table.select("of", "part", sites.rate(0, 0).alias("rate"), sites.rate(200_000, 1).alias("without"))
     got = {(x.of, x.part): x.rate for x in table.collect()}
+    without = {(x.of, x.part): x.without for x in table.collect()}
 
     def fold(key):
         out = {}
@@ -54,8 +56,11 @@ def test_shrinkage_against_plain_version(spark):
 
     m = weight(hosts, {k: mean for k in hosts})
     host_rate = {k: (s + m * mean) / (n + m) for k, (s, n) in hosts.items()}
-    m = weight(cells, {k: host_rate[k[0]] for k in cells})
+    host_weight, m = m, weight(cells, {k: host_rate[k[0]] for k in cells})
     for k, (s, n) in cells.items():
+        hs, hn = hosts[k[0]]
+        other = (hs - 0.2 + host_weight * mean) / (hn - 1 + host_weight)
+        assert math.isclose(without[k], min(max((s - 0.2 + m * other) / (n - 1 + m), 1e-6), 1 - 1e-6), rel_tol=1e-3)
         assert math.isclose(got[k], (s + m * host_rate[k[0]]) / (n + m), rel_tol=1e-3)
 
 
@@ -73,3 +78,14 @@ def test_odd_rows(spark, make_docs, words):
             assert all(r.keep for r in scored)
     assert quality.score(make_docs([]), spark.createDataFrame([], "doc_id long, quality int")).collect() == []
     assert quality.keep_good(make_docs([]), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect() == []
+
+
+def test_a_page_does_not_vouch_for_itself(spark, make_docs, words):
+    """The one page of a site gets its host's and the global rate for its prior, whatever its own evidence."""
+    rows, labels = corpus(words, 300, 3)
+    bad = " ".join(w + "$$$" for w in words(60, 999).upper().split())
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score(make_docs([*rows, (900, bad, "alone"), (901, words(60, 998), "single")]), table).collect()}
+    for i in (900, 901):
+        odds = lambda p: math.log(p / (1 - p))
+        assert abs(odds(min(max(got[i].p_good, 1e-5), 1 - 1e-5)) - odds(min(max(got[i].p_doc, 1e-5), 1 - 1e-5))) < 0.05

@@ -37,18 +37,43 @@ def test_payloads_are_stored_once(spark, pages):
     assert len(stored) == len(set(stored)) == len({(r.html or "") for r in pages.collect()})
 
 
-def test_exact_records(spark, pages):
-    path = warc.write_archive(pages)
-    for r in warc.reconstruct(spark, path).collect():
-        record = bytes(r.record)
-        head, _, rest = record.partition(b"\r\n\r\n")
-        lines = head.split(b"\r\n")
-        assert lines[0] == b"WARC/1.1"
-        fields = dict(x.split(b": ", 1) for x in lines[1:])
-        n = int(fields[b"Content-Length"])
-        assert rest[n:] == b"\r\n\r\n"
-        if fields[b"WARC-Type"] == b"response":
-            assert fields[b"WARC-Payload-Digest"] == b"sha256:" + hashlib.sha256(rest[:n]).hexdigest().encode()
+def records(data):
+    """A plain reader of a WARC file: the version, named fields and block of each record."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode().split("\r\n")
+        fields = {}
+        for line in lines:
+            name, value = line.split(": ", 1)
+            assert name not in fields
+            fields[name] = value
+        n = int(fields["Content-Length"])
+        block = data[end + 4 : end + 4 + n]
+        assert len(block) == n and data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
+        yield version, fields, block
+        at = end + 8 + n
+
+
+def test_a_plain_reader_reads_the_records(spark, pages):
+    path = warc.write_archive(pages, date="2024-05-06T07:08:09Z")
+    whole = b"".join(bytes(r.record) for r in warc.reconstruct(spark, path).collect())
+    read = list(records(whole))
+    names = {f["WARC-Record-ID"]: f for _, f, _ in read}
+    assert len(names) == len(read) == pages.count()
+    payloads = []
+    for version, fields, block in read:
+        assert version == "WARC/1.1" and {"WARC-Type", "WARC-Date", "Content-Type"} <= set(fields)
+        assert fields["WARC-Date"] == "2024-05-06T07:08:09Z"
+        if fields["WARC-Type"] == "response":
+            head, _, payload = block.partition(b"\r\n\r\n")
+            assert head.startswith(b"HTTP/1.1 200 OK\r\n") and head.endswith(b"Content-Length: %d" % len(payload))
+            assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+            payloads.append(payload)
+        else:
+            first = names[fields["WARC-Refers-To"]]
+            assert not block and first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+    assert {p.decode() for p in payloads} == {r.html or "" for r in pages.collect()}
 
 
 def test_damage_is_noticed(spark, pages):
