@@ -1,13 +1,17 @@
 """Embedding near duplicates: PCA-ordered, tiled, exact comparison by cosine.
 
 Unit vectors are rotated to their principal axes.  Two unit vectors of cosine
-``t`` or more lie at most ``sqrt(2 - 2t)`` apart on any axis, so cells of that
-width along the first axis need comparing only with themselves and the next.  A
-cell is cut into tiles of at most about ``TILE`` vectors by hash, and each pair of
-tiles of near cells is one task.  It takes leading dimensions first: the partial
-product plus the product of both suffix norms bounds the cosine, blocks with no
-pair left are done, and only what is left takes the remaining dimensions.
-Equal vectors are compared once and counted with their number.
+``t`` or more lie at most ``sqrt(2 - 2t)`` apart, so a grid of cells of ``CELL`` of that
+width along the first ``GRID_AXES`` axes needs comparing only between cells whose
+vectors' bounding boxes come that near; other pairs of cells are passed over before any
+vector is copied.  Where that spares no
+copies, fewer axes or none are used.  A cell is cut into tiles of at most about ``TILE``
+vectors by hash,
+and each pair of tiles of near cells is one task.  It accumulates products dimension
+block by dimension block, leading ones first: what is summed so far plus the product of
+both suffix norms bounds the cosine, pairs below the threshold are dropped at each block,
+and a stripe of the tile with no pair left is done.  Equal vectors are compared once and
+counted with their number.
 """
 
 from __future__ import annotations
@@ -20,14 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import discard, written
 from .simhash import _join
 
-TILE = 4096
+#: Vectors of a tile, and their components, at most.
+TILE, TILE_COMPONENTS = 8192, 1 << 22
 #: Vectors of a tile that are compared with the other tile at once.
 BLOCK = 512
-#: Leading dimensions of the first bound, as a part of all.
-LEADING = 0.25
+#: Where blocks of dimensions end, as parts of all.
+BLOCK_ENDS = (0.125, 0.25, 0.5, 1.0)
+#: Axes of the grid of cells, and a cell's width as a part of the farthest that a link reaches.
+GRID_AXES, CELL = 3, 0.75
+#: At most so many cells a side: two unit lengths, in widths.
+SIDE = 64
+#: Pairs whose components are gathered at once.
+GATHER = 1 << 16
 #: Room for rounding in bounds; pairs as near as that to the threshold are computed again from the given components.
 SLACK = 1e-9
 
@@ -61,41 +72,93 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(gram)[1][:, ::-1].copy()
 
 
-def _first_axis(axes: np.ndarray, width: float):
-    axis, dim = axes[:, 0], len(axes)
+def _grid(axes: np.ndarray, width: float):
+    """Each vector with its cell and its place along the first axes."""
+    dim, first = len(axes), axes[:, :GRID_AXES]
 
     def run(batches):
         for b in batches:
-            cell = np.floor(_matrix(b.column("v"), dim) @ axis / width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "cell"])
+            at = _matrix(b.column("v"), dim) @ first
+            steps = np.clip(np.floor((at + 1) / width), 0, SIDE - 1).astype(np.int64)
+            cell = steps @ SIDE ** np.arange(at.shape[1])
+            places = [pa.array(np.ascontiguousarray(at[:, k]) if k < at.shape[1] else np.zeros(len(at))) for k in range(GRID_AXES)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), *places], names=[*b.schema.names, "cell", *_places()])
 
     return run
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, lead: int):
-    """Blocks of index pairs ``(i, j)`` and their cosine, for unit rows in PCA order."""
-    rest = lambda a: np.linalg.norm(a[:, lead:], axis=1, keepdims=True)
-    head_x, head_y = np.hstack([x[:, :lead], rest(x)]), np.hstack([y[:, :lead], rest(y)])
+def _places() -> list[str]:
+    return [f"p{k}" for k in range(GRID_AXES)]
+
+
+def near_cells(boxes: list[tuple[np.ndarray, np.ndarray]], reach: float) -> list[tuple[int, int]]:
+    """Index pairs ``i <= j`` of boxes ``(lowest, highest)`` that come within ``reach`` of each other."""
+    low, high = (np.array([b[k] for b in boxes]) for k in (0, 1))
+    out = []
+    for i in range(len(boxes)):
+        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
+        out += [(i, i + int(j)) for j in np.flatnonzero((gap**2).sum(1) <= reach**2)]
+    return out
+
+
+def best_grid(boxes: dict[int, tuple[int, np.ndarray, np.ndarray]], reach: float, tile: int):
+    """By how many axes to tell cells apart so that the fewest copies of vectors are made; ``boxes``: number, lowest and highest of each cell.
+
+    Fewer axes are better where boxes are near anyway.  Returns that number, the tiles of
+    each cell, and ``(cell, near cell, its tiles)``.
+    """
+    best = None
+    for used in range(GRID_AXES + 1):
+        merged: dict[int, tuple] = {}
+        for cell, (n, low, high) in boxes.items():
+            m, lo, hi = merged.get(cell % SIDE**used, (0, low, high))
+            merged[cell % SIDE**used] = (m + n, np.minimum(lo, low), np.maximum(hi, high))
+        names = sorted(merged)
+        tiles = {c: math.ceil(merged[c][0] / tile) for c in names}
+        near = near_cells([merged[c][1:] for c in names], reach)
+        partners = [(names[i], names[j], tiles[names[j]]) for a, b in near for i, j in {(a, b), (b, a)}]
+        copies = sum(merged[c][0] * t for c, _, t in partners)
+        if best is None or copies < best[0]:
+            best = copies, used, tiles, partners
+    return best[1:]
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, ends: list[int]):
+    """Blocks of index pairs ``(i, j)`` and their cosine, for unit rows in PCA order; ``ends``: where blocks of dimensions end."""
+    # norms of what follows each block
+    rest = lambda a: [np.linalg.norm(a[:, e:], axis=1) for e in ends]
+    rest_x, rest_y = rest(x), rest(y)
     for lo in range(0, len(x), BLOCK):
-        bound = head_x[lo : lo + BLOCK] @ head_y.T  # leading products, and the largest that the others can add
-        i, j = np.nonzero(bound >= threshold - SLACK)
-        if not len(i):
-            continue
-        if len(i) * 8 > bound.size:  # dense: one more product is cheaper than gathering rows
-            cos = x[lo : lo + BLOCK] @ y.T
-            i, j = np.nonzero(cos >= threshold - SLACK)
-            yield i + lo, j, cos[i, j]
-            continue
-        for k in range(0, len(i), 1 << 16):
-            a, b = i[k : k + (1 << 16)] + lo, j[k : k + (1 << 16)]
-            cos = np.einsum("ij,ij->i", x[a], y[b])
-            near = cos >= threshold - SLACK
-            yield a[near], b[near], cos[near]
+        part, begin, i = x[lo : lo + BLOCK], 0, None
+        for e, rx, ry in zip(ends, rest_x, rest_y):
+            if i is None:
+                product = part[:, begin:e] @ y[:, begin:e].T
+                dense = product if begin == 0 else dense + product
+                bound = dense + rx[lo : lo + BLOCK, None] * ry[None] if e < x.shape[1] else dense
+                near = bound >= threshold - SLACK
+                left = np.count_nonzero(near)
+                if not left:
+                    break
+                if left * 8 <= near.size or e == x.shape[1]:  # few: from here on pair by pair
+                    i, j = np.nonzero(near)
+                    total = dense[i, j]
+                    i = i + lo
+            else:
+                for k in range(0, len(i), GATHER):
+                    s = slice(k, k + GATHER)
+                    total[s] += np.einsum("ij,ij->i", x[i[s], begin:e], y[j[s], begin:e])
+                near = total + rx[i] * ry[j] >= threshold - SLACK
+                i, j, total = i[near], j[near], total[near]
+                if not len(i):
+                    break
+            begin = e
+        if i is not None and len(i):
+            yield i, j, total
 
 
 def _compare(axes: np.ndarray, threshold: float):
     dim = len(axes)
-    lead = max(1, math.ceil(dim * LEADING))
+    ends = sorted({max(1, math.ceil(dim * part)) for part in BLOCK_ENDS})
     empty = pa.table({k: pa.array([], pa.int64()) for k in ("id", "links", "up")})
 
     def run(table: pa.Table) -> pa.Table:
@@ -113,7 +176,7 @@ def _compare(axes: np.ndarray, threshold: float):
         ids = ids_x if same else np.r_[ids_x, ids_y]
         off = 0 if same else len(ids_x)
         count, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for i, j, cos in close_pairs(x, y, threshold, lead):
+        for i, j, cos in close_pairs(x, y, threshold, ends):
             if same:
                 i, j, cos = i[i < j], j[i < j], cos[i < j]
             edge = np.abs(cos - threshold) <= SLACK
@@ -131,10 +194,15 @@ def _compare(axes: np.ndarray, threshold: float):
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """The cosine of the given components; only where squares would overflow or vanish they are scaled, by powers of two."""
+    high = max(np.abs(a).max(), np.abs(b).max())
+    low = min(np.abs(a).max(), np.abs(b).max())
+    if not 1e-100 < low <= high < 1e100:
+        a, b = (np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for v in (a, b))
     return float(np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b)))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
 
     All pairs of one dimension are held against the threshold, whatever their
@@ -152,32 +220,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     # equal vectors once: the smallest id stands for them (0 + x makes -0.0 equal to 0.0)
     keyed = marked.filter("sound").select("id", F.transform("v", lambda x: x + F.lit(0).cast("float")).alias("v") if dict(rows.dtypes)["v"] == "array<float>" else F.transform("v", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     classes = written(keyed.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
-    width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    found = []
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    width = max(reach * CELL, 2 / SIDE)
+    kind, found, used = dict(classes.dtypes)["v"], [], []
     for dim in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:  # one, as a rule
         own = classes.filter(F.size("v") == dim)
         axes = principal_axes(own, dim)
-        kind = dict(classes.dtypes)["v"]
-        celled = own.select("id", "n", "v").mapInArrow(_first_axis(axes, width), f"id long, n long, v {kind}, cell int")
+        where = ", ".join(f"{p} double" for p in _places())
+        celled = own.select("id", "n", "v").mapInArrow(_grid(axes, width), f"id long, n long, v {kind}, cell long, {where}")
         celled = written(celled, "cells")
-        sizes = celled.groupBy("cell").agg(F.count("*").alias("held"))
-        # along one axis of length two there are at most 2 / width + 2 cells
-        per_cell = {r["cell"]: math.ceil(r["held"] / tile) for r in sizes.collect()}
-        tiles = F.element_at(F.create_map(*[F.lit(x) for kv in per_cell.items() for x in kv]), F.col("cell"))
-        tiled = celled.withColumn("own", F.struct("cell", F.pmod(F.xxhash64("id"), tiles).cast("int").alias("k")))
-        blobs = tiled.groupBy("own").agg(F.collect_list(F.struct("id", "n", "v")).alias("members"))
-        near = [(c, c + d) for c in per_cell for d in (-1, 0, 1) if c + d in per_cell]
-        others = F.create_map(*[x for c in per_cell for x in (F.lit(c), F.array(*[F.struct(F.lit(b).alias("cell"), F.lit(per_cell[b]).alias("tiles")) for a, b in near if a == c]))])
-        partner = F.flatten(F.transform(F.element_at(others, F.col("own.cell")), lambda o: F.transform(F.sequence(F.lit(0), o["tiles"] - 1), lambda k: F.struct(o["cell"].alias("cell"), k.alias("k")))))
-        paired = blobs.select("own", "members", F.explode(partner).alias("other"))
-        paired = paired.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.concat_ws(":", F.lpad((F.col("own.cell") + 100000).cast("string"), 8, "0"), F.lpad(F.col("own.k").cast("string"), 10, "0")).alias("own"), "members")
+        ends = [f(p).alias(f"{name}_{p}") for name, f in (("low", F.min), ("high", F.max)) for p in _places()]
+        # a row a cell that has vectors: at most (2 / width + 1) ** GRID_AXES of them, whatever the table
+        cells = celled.groupBy("cell").agg(F.count("*").alias("held"), *ends).collect()
+        boxes = {r["cell"]: (r["held"], *(np.array([r[f"{name}_{p}"] for p in _places()]) for name in ("low", "high"))) for r in cells}
+        axes_used, tiles, partners = best_grid(boxes, reach, tile or min(TILE, max(1, TILE_COMPONENTS // dim)))
+        spark = vectors.sparkSession
+        partners = F.broadcast(spark.createDataFrame(partners, "cell long, far long, far_tiles int"))
+        mine = spark.createDataFrame(list(tiles.items()), "of long, parts int")
+        split = celled.withColumn("cell", F.pmod("cell", F.lit(SIDE**axes_used))).join(F.broadcast(mine), F.col("cell") == F.col("of"))
+        tiled = split.select("id", "n", "v", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("k"))
+        blobs = tiled.groupBy("cell", "k").agg(F.collect_list(F.struct("id", "n", "v")).alias("members"))
+        paired = blobs.join(partners, "cell").withColumn("far_k", F.explode(F.sequence(F.lit(0), F.col("far_tiles") - 1)))
+        own_, other = F.struct("cell", "k"), F.struct(F.col("far").alias("cell"), F.col("far_k").alias("k"))
+        name = F.concat_ws(":", F.lpad(F.col("cell").cast("string"), 8, "0"), F.lpad(F.col("k").cast("string"), 10, "0"))
+        paired = paired.select(F.least(own_, other).alias("a"), F.greatest(own_, other).alias("b"), name.alias("own"), "members")
         found.append(paired.groupBy("a", "b").applyInArrow(_compare(axes, threshold), "id long, links long, up long"))
+        used.append(celled)
     if not found:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
     every = written(every, "near")
+    discard(*used)
     roots = written(components(every.select(F.col("id").alias("a"), F.col("up").alias("b"))), "roots")
     counts = every.groupBy("id").agg(F.sum("links").alias("links"))
     judged = classes.join(counts, "id", "left").join(roots, classes.id == roots.node, "left")

@@ -4,7 +4,9 @@ DataFrame functions only.  The trees are grown level by level: each level is one
 grouped sum of gradients over a bounded table of training rows, of which the
 driver gets a histogram of nodes, features and bins and picks the best splits.
 Gradients are whole numbers (millionths), so sums and trees don't depend on the
-order of rows.
+order of rows.  Both labels weigh the same in total, so a URL of which nothing is known
+leans to neither side.  A suffix's rate is learnt out of fold: a training row sees
+what the other folds say of its suffix, and an unseen suffix is neutral.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: (host, path, verdict), as the contract has them.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -23,6 +25,10 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, L2 = 8, 3, 16, 0.4, 1.0
 UNIT = 1_000_000
+#: Parts of the training rows, and the rows' weight by which a suffix's rate is drawn towards neutral.
+FOLDS, SMOOTHING, NEUTRAL = 5, 10.0, 0.5
+#: Tasks that measure the drawn URLs.
+DRAWN_PARTS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,7 +64,8 @@ def lexical(rows: DataFrame, url: str = "url") -> DataFrame:
     count = lambda pattern: F.length(u) - F.length(F.regexp_replace(u, pattern, ""))
     chars = F.filter(F.split(u, ""), lambda c: c != "")
     shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / F.size(chars))
-    entropy = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    # rounded, so that the order of characters makes no other number
+    entropy = F.round(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)), 9)
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
     params = F.when(query == "", 0).otherwise(F.length(query) - F.length(F.regexp_replace(query, "&", "")) + 1)
     depth = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
@@ -72,7 +79,7 @@ class Model:
     trees: tuple  # each: {node: (feature, cut)} of heap-numbered nodes, {leaf: value in millionths}
     base: int
     suffix_rates: DataFrame  # (suffix, rate): a row a training suffix, TRAIN_ROWS at most
-    prior: float
+    cuts: tuple = ()  # of each feature, where it may be split
 
 
 def _value(node: int, splits: dict, leaves: dict) -> Column:
@@ -102,11 +109,19 @@ def _bin(feature: int, cuts: list[float]) -> Column:
     return F.size(F.filter(F.lit([float(c) for c in cuts]).cast("array<double>"), lambda c: value > c))
 
 
-def _with_rate(rows: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
+def _with_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """``x``: all features.  ``rates`` is broadcast: two numbers for each of at most TRAIN_ROWS suffixes."""
     known = F.broadcast(rates.select(F.col("suffix").alias("__suffix"), "rate"))
     joined = rows.join(known, F.col("suffix") == F.col("__suffix"), "left")
-    return joined.withColumn("x", F.concat("f", F.array(F.coalesce("rate", F.lit(prior))))).drop("__suffix", "rate", "f", "suffix")
+    return joined.withColumn("x", F.concat("f", F.array(F.coalesce("rate", F.lit(NEUTRAL))))).drop("__suffix", "rate", "f", "suffix")
+
+
+def _rate(bad: Column, all_: Column) -> Column:
+    return (bad + SMOOTHING * NEUTRAL) / (all_ + SMOOTHING)
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
 def _leaf(g: float, h: float) -> int:
@@ -131,27 +146,43 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
     """Trees for ``labelled(url, label)``, label 1 to block.
 
     Equal URLs count once, with the mean of their labels rounded.  The model is
-    trained on at most ``rows`` of them, chosen by hash.  Without any, or with one
-    label only, every URL gets that label, or allow.
+    trained on at most ``rows`` of them, chosen by hash; both labels weigh half.
+    Without any, or with one label only, every URL gets that label, or allow.
     """
     once = labelled.filter(F.col("url").isNotNull()).groupBy("url").agg(F.round(F.avg("label")).cast("int").alias("label"))
-    drawn = once.orderBy(F.xxhash64("url"), "url").limit(rows)
-    sample = written(lexical(drawn).select("f", "suffix", "label"), "labelled")
-    # the suffix's share of blocked URLs, drawn towards that of all by ten rows' weight
+    drawn = once.orderBy(F.xxhash64("url"), "url").limit(rows).repartition(DRAWN_PARTS, "url")
+    sample = written(lexical(drawn).select("f", "suffix", "label", _fold(F.col("url")).alias("fold")), "labelled")
     n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    prior = (blocked + 1) / (n + 2)
-    rates = written(sample.groupBy("suffix").agg(((F.sum("label") + 10 * F.lit(prior)) / (F.count("*") + 10)).alias("rate")), "suffixes")
-    base = round(math.log(prior / (1 - prior)) * UNIT)
+    # a label's rows weigh half of all rows together
+    weight = F.when(F.col("label") == 1, F.lit(n / 2 / max(blocked, 1))).otherwise(F.lit(n / 2 / max(n - blocked, 1)))
+    weighted = sample.withColumn("w", weight)
+    sums = [F.sum(F.col("w") * F.col("label")).alias("bad"), F.sum("w").alias("held")]
+    folds = written(weighted.groupBy("suffix", "fold").agg(*sums), "folds")
+    whole = folds.groupBy("suffix").agg(F.sum("bad").alias("all_bad"), F.sum("held").alias("all_held"))
+    rates = written(whole.select("suffix", F.round(_rate(F.col("all_bad"), F.col("all_held")), 9).alias("rate")), "suffixes")
     if not 0 < blocked < n:
-        return Model((), base, rates, prior)
+        return Model((), UNIT if blocked else -UNIT, rates)
+    others = folds.join(whole, "suffix").select(F.col("suffix").alias("s"), F.col("fold").alias("k"), F.round(_rate(F.col("all_bad") - F.col("bad"), F.col("all_held") - F.col("held")), 9).alias("rate"))
+    known = sample.join(F.broadcast(others), (F.col("suffix") == F.col("s")) & (F.col("fold") == F.col("k")))
+    features = known.select(F.concat("f", F.array("rate")).alias("x"), "label")
     # a few thousand distinct rows, one partition: levels are short jobs
-    train_rows = written(_with_rate(sample, rates, prior).groupBy("x", "label").agg(F.count("*").alias("n")).coalesce(1), "train")
-    quantiles = train_rows.agg(*[F.percentile(F.col("x")[k], [b / bins for b in range(1, bins)], F.col("n")).alias(f"q{k}") for k in range(len(FEATURES))]).first()
-    cuts = [sorted(set(quantiles[f"q{k}"])) for k in range(len(FEATURES))]
+    train_rows = written(features.groupBy("x", "label").agg(F.count("*").alias("n")).coalesce(1), "train")
+    places = [b / bins for b in range(1, bins)]
+    quantiles = train_rows.agg(*[F.percentile(F.col("x")[k], places, F.col("n")).alias(f"q{k}") for k in range(len(FEATURES))]).first()
+    at = [sorted(set(quantiles[f"q{k}"])) for k in range(len(FEATURES))]
+    # halfway to the next value that there is: what lies in between, as neutral suffixes do, goes to the nearer side
+    x = lambda k: F.col("x")[k]
+    below = [F.max(F.when(x(k) <= c, x(k))).alias(f"b{k}_{j}") for k, cs in enumerate(at) for j, c in enumerate(cs)]
+    above = [F.min(F.when(x(k) > c, x(k))).alias(f"a{k}_{j}") for k, cs in enumerate(at) for j, c in enumerate(cs)]
+    ends = train_rows.agg(*below, *above).first()
+    pairs = [[(ends[f"b{k}_{j}"], ends[f"a{k}_{j}"]) for j in range(len(cs))] for k, cs in enumerate(at)]
+    cuts = [sorted({(b + a) / 2 for b, a in ps if b is not None and a is not None}) for ps in pairs]
+    base = 0
     grown: list[tuple[dict, dict]] = []
     for _ in range(trees):
         p = 1 / (1 + F.exp(-_margin(base, grown) / UNIT))
-        rows_g = train_rows.select("x", "n", F.round((F.col("label") - p) * UNIT).cast("long").alias("g"), F.round(p * (1 - p) * UNIT).cast("long").alias("h"))
+        whole_ = lambda x: F.round(weight * x * UNIT).cast("long")
+        rows_g = train_rows.select("x", "n", whole_(F.col("label") - p).alias("g"), whole_(p * (1 - p)).alias("h"))
         splits: dict = {}
         leaves: dict = {}
         for level in range(depth):
@@ -174,12 +205,13 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
             if len(splits) == before:
                 break
         grown.append((splits, {k: v for k, v in leaves.items() if k not in splits}))
-    return Model(tuple(grown), base, rates, prior)
+    discard(sample, folds, train_rows)
+    return Model(tuple(grown), base, rates, tuple(map(tuple, cuts)))
 
 
 def scored(rows: DataFrame, model: Model, url: str = "url") -> DataFrame:
     """``rows`` with ``margin``: above zero to block."""
-    ready = _with_rate(lexical(rows, url), model.suffix_rates, model.prior)
+    ready = _with_rate(lexical(rows, url), model.suffix_rates)
     return ready.withColumn("margin", _margin(model.base, model.trees) / UNIT).drop("x")
 
 

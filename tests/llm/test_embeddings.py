@@ -68,8 +68,32 @@ def test_leading_dimensions_bound_the_rest():
     r = random.Random(4)
     x = np.array([v for _, v in vectors(300, 32, 5)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    pairs = set()
-    for i, j, _ in embeddings.close_pairs(x, x, 0.9, r.randint(1, 31)):
-        pairs |= set(zip(i.tolist(), j.tolist()))
     c = x @ x.T
-    assert pairs == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(c >= 0.9)))}
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(c >= 0.9)))}
+    for _ in range(5):
+        pairs, ends = set(), sorted({*r.sample(range(1, 32), r.randint(0, 4)), 32})
+        for i, j, cos in embeddings.close_pairs(x, x, 0.9, ends):
+            pairs |= set(zip(i.tolist(), j.tolist()))
+            assert np.allclose(cos, c[i, j], atol=1e-12)
+        assert pairs == want
+
+
+def test_far_cells_are_passed_over():
+    r = np.random.default_rng(6)
+    boxes = [(low := r.uniform(-1, 1, 3), low + r.uniform(0, 0.3, 3)) for _ in range(60)]
+    got = set(embeddings.near_cells(boxes, 0.45))
+    inside = [b[0] + (b[1] - b[0]) * r.uniform(size=(400, 3)) for b in boxes]
+    for i in range(60):
+        for j in range(i, 60):
+            if np.linalg.norm(inside[i][:, None] - inside[j][None], axis=2).min() <= 0.45:
+                assert (i, j) in got
+    assert len(got) < 60 * 61 / 2 * 0.6
+
+
+def test_large_and_small_doubles(spark):
+    """Components whose squares overflow or vanish, one pair right at the threshold."""
+    at = [0.9, math.sqrt(1 - 0.81)]
+    rows = [(1, [1e200, 0.0]), (2, [at[0] * 1e200, at[1] * 1e200]), (3, [1e-200, 0.0]), (4, [at[0] * 1e-200, at[1] * 1e-200]), (5, [0.0, 1e300]), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df).collect()}
+    assert got[3] == got[6] == 1 and got[4] == got[2] and got[5] == 5
