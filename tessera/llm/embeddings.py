@@ -32,7 +32,9 @@ TILE, TILE_COMPONENTS = 8192, 1 << 22
 #: Vectors of a tile that are compared with the other tile at once.
 BLOCK = 512
 #: Where blocks of dimensions end, as parts of all.
-BLOCK_ENDS = (0.125, 0.25, 0.5, 1.0)
+BLOCK_ENDS = (0.25, 0.5, 0.75, 1.0)
+#: One pair in so many left is few.
+FEW = 64
 #: Axes of the grid of cells, and a cell's width as a part of the farthest that a link reaches.
 GRID_AXES, CELL = 3, 0.75
 #: At most so many cells a side: two unit lengths, in widths.
@@ -125,37 +127,46 @@ def best_grid(boxes: dict[int, tuple[int, np.ndarray, np.ndarray]], reach: float
 
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, ends: list[int]):
     """Blocks of index pairs ``(i, j)`` and their cosine, for unit rows in PCA order; ``ends``: where blocks of dimensions end."""
-    # norms of what follows each block
-    rest = lambda a: [np.linalg.norm(a[:, e:], axis=1) for e in ends]
-    rest_x, rest_y = rest(x), rest(y)
+    parts_x, parts_y = _parts(x, ends), _parts(y, ends, -1.0)
     for lo in range(0, len(x), BLOCK):
-        part, begin, i = x[lo : lo + BLOCK], 0, None
-        for e, rx, ry in zip(ends, rest_x, rest_y):
+        bound, i = None, None
+        for n, (e, px, py) in enumerate(zip(ends, parts_x, parts_y)):
             if i is None:
-                product = part[:, begin:e] @ y[:, begin:e].T
-                dense = product if begin == 0 else dense + product
-                bound = dense + rx[lo : lo + BLOCK, None] * ry[None] if e < x.shape[1] else dense
+                more = px[lo : lo + BLOCK] @ py.T
+                bound = more if bound is None else np.add(bound, more, out=bound)
                 near = bound >= threshold - SLACK
                 left = np.count_nonzero(near)
                 if not left:
                     break
-                if left * 8 <= near.size or e == x.shape[1]:  # few: from here on pair by pair
+                if left * FEW <= near.size or e == ends[-1]:  # few: from here on pair by pair
                     i, j = np.nonzero(near)
-                    total = dense[i, j]
-                    i = i + lo
+                    total, i = bound[i, j], i + lo
             else:
                 for k in range(0, len(i), GATHER):
                     s = slice(k, k + GATHER)
-                    total[s] += np.einsum("ij,ij->i", x[i[s], begin:e], y[j[s], begin:e])
-                near = total + rx[i] * ry[j] >= threshold - SLACK
+                    total[s] += np.einsum("ij,ij->i", px[i[s]], py[j[s]])
+                near = total >= threshold - SLACK
                 i, j, total = i[near], j[near], total[near]
                 if not len(i):
                     break
-            begin = e
         if i is not None and len(i):
             yield i, j, total
 
 
+def _parts(a: np.ndarray, ends: list[int], sign: float = 1.0) -> list[np.ndarray]:
+    """Blocks of dimensions, each with the norm of what follows it and of what followed the one before, the latter by ``sign``.
+
+    Products of such rows of unlike signs, summed up to a block, are the products so far plus that of
+    both norms of the rest: a bound of the cosine, and after the last block the cosine.
+    """
+    out, begin, before = [], 0, None
+    for e in ends:
+        rest = np.linalg.norm(a[:, e:], axis=1, keepdims=True) if e < a.shape[1] else np.zeros((len(a), 1))
+        out.append([a[:, begin:e], rest] + ([] if before is None else [sign * before]))
+        begin, before = e, rest
+    return [np.hstack(x) for x in out]
+
+
 def _compare(axes: np.ndarray, threshold: float):
     dim = len(axes)
     ends = sorted({max(1, math.ceil(dim * part)) for part in BLOCK_ENDS})

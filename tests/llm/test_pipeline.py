@@ -35,7 +35,7 @@ def test_run_against_plain_versions(spark, tmp_path, words):
     good = {r.doc_id for r in quality.score(frame, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() if r.keep}
     assert good >= {i for i, y, _ in labels if y} and not good & {i for i in range(300) if i % 10 == 1}
     left = [d for d in docs if d[0] in good]
-    texts = cleaned([(d[0], d[1], d[3]) for d in left], linededup.RATIO, linededup.MIN_PAGES_WITH_LINE, linededup.MIN_HOST_PAGES)
+    texts = cleaned([(d[0], d[1], d[3]) for d in left], linededup.RATIO)
     rows = list(dict.fromkeys((d[0], t) for d, t in zip(left, texts)))
     component = {d: c for d, _, c in groups([(d, fingerprint(t, 5, 256, True)) for d, t in rows], 44)}
     rows = [(d, t) for d, t in rows if component[d] == d]
@@ -59,3 +59,24 @@ def test_empty_tables(spark, tmp_path):
 def test_boilerplate_of_small_hosts_goes(spark, make_docs, words):
     docs = make_docs([(i, words(20, i) + "\nAll rights reserved", "small") for i in range(19)])
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()) == [(i, words(20, i)) for i in range(19)]
+
+
+def test_each_stage_takes_odd_rows(spark, tmp_path, words):
+    """Nulls in any column, empty and long texts, repeated rows, and columns whose names clash with inner ones."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, host_s long, part string, gone string, site int, kept_id long, kept_hash long, odds double"
+    more = (1, "p", "g", 2, 3, 4, 0.5)
+    item = words(15, 5000)
+    rows = [(None, None, None, None, None), (1, None, "en", "s", None), (2, "", None, "s", 0), (3, words(30_000, 1), "en", None, 1), (4, words(40, 2), "en", "s", 1)]
+    rows += [rows[-1], (5, words(40, 2), None, "t", None), (None, words(40, 3), "en", "t", 7), (6, words(20, 4) + " " + item, "en", "t", 7)]
+    docs = spark.createDataFrame([(*r, *more) for r in rows], kind)
+    write(spark, tmp_path, [], [(4, 1, 0), (None, 0, 0), (5, None, None)], [(1, item), (None, None), (2, "")])
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        kept[name] = sorted((r.doc_id for r in out.collect()), key=str)
+    every = sorted((r[0] for r in rows), key=str)
+    assert kept["quality_classifier"] == kept["line_dedup"] == every
+    assert kept["near_dedup"] == [1, 3, 4, 6, None, None]
+    assert kept["decontaminate"] == [x for x in every if x != 6]
+    assert sorted((r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()), key=str) == every
