@@ -10,6 +10,7 @@ capacities finds the row with the least room that suffices.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 #: Characters that the tokenizer gets at once.  Long texts are cut before white space, where its pattern cuts them too.
 PART = 1 << 16
+#: White space as the tokenizer's pattern has it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A run of it that goes on for a part or more.  The pattern searches for a run's end on a stack that overflows beyond a million.
+LONG_SPACE = re.compile(rf"(?<![{SPACE}])[{SPACE}]{{{PART},}}")
 
 
 class BestFit:
@@ -87,19 +92,30 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": END})
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of ``text`` and END."""
         text, parts, at = text or "", [], 0
-        encoded = lambda a, b: np.array(self.encoding.encode_ordinary(text[a:b]), np.uint16)
-        while len(text) - at > PART:
-            cut = self._cut(text, at + PART)
-            if cut < 0:
-                break
-            parts.append(encoded(at, cut))
+        for space in LONG_SPACE.finditer(text) if len(text) >= PART else ():
+            # the last white space goes with what follows, as in the pattern
+            end = space.end() - (space.end() < len(text))
+            parts += self._parts(text, at, space.start())
+            parts.append(np.array(self.encoding._encode_single_piece(text[space.start() : end]), np.uint16))
+            at = end
+        return np.concatenate([*parts, *self._parts(text, at, len(text)), np.array([END], np.uint16)])
+
+    def _parts(self, text: str, at: int, end: int):
+        """Ids of ``text[at:end]``, a part at a time."""
+        while at < end:
+            cut = self._cut(text, at + PART) if end - at > PART else end
+            cut = end if cut < 0 else min(cut, end)
+            yield self._encoded(text[at:cut])
             at = cut
-        return np.concatenate([*parts, encoded(at, len(text)), np.array([END], np.uint16)])
+
+    def _encoded(self, part: str) -> np.ndarray:
+        # as an array from the start: a list of Python's integers would take ten times the room
+        return self.encoding.encode_to_numpy(part, disallowed_special=()).astype(np.uint16)
 
     @staticmethod
     def _cut(text: str, at: int) -> int:

@@ -55,3 +55,24 @@ def test_repeats_and_empty(make_docs):
     assert packing.pack_documents(make_docs([])).collect() == []
     got = packing.pack_documents(make_docs([(1, "a b")] * 3 + [(None, "c")])).collect()
     assert sorted(str(d) for r in got for d in r.doc_ids) == ["1", "1", "1", "None"]
+
+
+def test_long_runs_of_white_space(make_docs):
+    import public_tokenizers
+
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=packing.read_ranks(packing.TOKENIZER), special_tokens={})
+    encoder = packing.Encoder(packing.read_ranks(packing.TOKENIZER), public_tokenizers.PATTERN)
+    n = packing.PART
+    runs = [" " * n, "\n" * (n - 1), " \n\u3000\xa0\t" * n, " " * n + "\x1c" * n + " " * n]
+    for text in [f"{a}{run}{b}" for run in runs for a in ("", "x", "\x1c", "it's 1") for b in ("", "y", "'s", "\x1cz", "<|endoftext|>")]:
+        assert encoder.ids(text).tolist() == plain.encode_ordinary(text) + [packing.END]
+    # beyond what the pattern's own search takes
+    rows = [(k, f"{a}{run * 1_500_000}b c") for k, (a, run) in enumerate((("", " "), ("a", "\n"), ("a b\x1c", " \t")))]
+    parts = {}
+    for r in packing.pack_documents(make_docs(rows)).collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for d, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault(d, []).append((start, ids[a:b].tolist()))
+    for d, text in rows:
+        *ids, end = [x for _, p in sorted(parts[d]) for x in p]
+        assert end == packing.END and plain.decode(ids) == text
