@@ -108,7 +108,9 @@ class Codec:
         """:meth:`segment` for a unit of any length.
 
         Every ``SPAN`` positions, what all segmentations still open have in common is
-        settled and forgotten, so the unit takes little more than its ids.
+        settled and forgotten, so the unit takes little more than its ids.  In a run of one
+        character they may have nothing in common up to its end: what is looked through doubles
+        each time, so the work stays in proportion, and a position takes 17 bytes.
         """
         bad, longest = self.unknown_score, self.longest
         # of each position from ``base`` on: the best score, the length and id of its last piece, and whether it can do without a penalty
@@ -116,7 +118,7 @@ class Codec:
         room = min(len(unit) + 1, SPAN + longest + 1)
         best, back, ids, passed = array("d", [low]) * room, array("i", bytes(4 * room)), array("i", [-1]) * room, bytearray(room)
         best[0], passed[0] = 0.0, 1
-        at = 1  # positions before it are final
+        at, limit = 1, SPAN + longest  # positions before ``at`` are final
         for end, found in self._ends(unit):
             end -= base
             if end >= len(best):
@@ -138,13 +140,14 @@ class Codec:
                 score += best[end - length]
                 if score > best[end]:
                     best[end], back[end], ids[end] = score, length, i
-            if at > SPAN + longest:
+            if at > limit:
                 common = self._common(back, at - longest - 1, at - 1)
                 if common:
                     done += self._read(unit, base, common, back, ids)
                     for x in (best, back, ids, passed):
                         del x[:common]
                     base, at = base + common, at - common
+                limit = max(SPAN + longest, 2 * at)
         return bytes(done + self._read(unit, base, len(unit) - base, back, ids))
 
     def _ends(self, unit: str):

@@ -114,3 +114,13 @@ def test_a_long_unbroken_text_takes_bounded_memory():
     assert done.returncode == 0, done.stderr
     kb, n = map(int, done.stdout.split()[-2:])
     assert kb < 64 * 1024 and n > 500_000
+
+
+def test_long_runs_of_one_character(codec, make_docs, monkeypatch):
+    """Segmentations of such runs may have nothing in common; the work must stay in proportion to their length."""
+    texts = [c * 300_000 for c in (" ", "=", "a", "\n", "漢", "ab", "= ")] + ["x" + " " * 300_000 + "y", "a" * 100_000 + " " * 100_000 + "=" * 100_000]
+    got = [codec.encode(t) for t in texts]
+    monkeypatch.setattr(sp, "SPAN", 1 << 30)  # at once
+    assert got == [codec.encode(t) for t in texts]
+    rows = sp.encode_documents(make_docs(list(enumerate(texts)))).collect()
+    assert all(r.round_trip and r.n_tokens == len(got[r.doc_id]) // 4 for r in rows)
