@@ -352,6 +352,27 @@ def mutators_by_number(spark, d):
     return s.scan("nation").select("row", "cf", "cq", F.col("value").cast("string").alias("value"), "ts")
 
 
+@query(
+    "SELECT lpad(CAST(r_regionkey AS VARCHAR), 10, '0') AS \"row\", 'before' AS part, 0 AS cells FROM region "
+    "UNION ALL SELECT lpad(CAST(r_regionkey AS VARCHAR), 10, '0'), r_name, 1 FROM region WHERE r_regionkey % 2 = 0"
+)
+def unflushed_and_unbuffered(spark, d):
+    """Statements whose cells wait in mutators, and reads through scanners: nothing before the flush, then what wasn't deleted."""
+    s = session(spark)
+    s.execute("CREATE TABLE region (name)")
+    rows = base._table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()
+    waiting = [s.execute(f"INSERT INTO region VALUES ('{k(r[0])}', 'name', '{r[1]}')", noflush=True).mutator for r in rows]
+    waiting += [s.execute(f"DELETE * FROM region WHERE ROW = '{k(r[0])}'", noflush=True).mutator for r in rows if r[0] % 2]
+    held = s.next_cells(s.execute("SELECT * FROM region", unbuffered=True).scanner)
+    found = [(k(r[0]), "before", len(held)) for r in rows]
+    for m in waiting:
+        s.close_mutator(m)
+    scanner = s.execute("SELECT * FROM region", unbuffered=True).scanner
+    while block := s.next_cells(scanner):
+        found += [(c.row, bytes(c.value).decode(), 1) for c in block]
+    return spark.createDataFrame(found, "row string, part string, cells int")
+
+
 @query(f"SELECT * FROM (SELECT min(event_id) + 0 AS first_rev, max(event_id) AS last_rev, count(*) AS cells, 0 AS part FROM events UNION ALL SELECT 1 + max(event_id), max(event_id) + count(*), count(*), 1 FROM events)")
 def revisions(spark, d):
     """Explicit revisions, then stamped ones: dense, and after all of the first commit."""

@@ -49,6 +49,7 @@ class Result:
     cells: DataFrame | None = None
     rendered: DataFrame | None = None
     scanner: int | None = None
+    mutator: int | None = None
     rejected: DataFrame | None = None
 
     def text(self) -> list[str]:
@@ -74,8 +75,19 @@ class Session:
 
     # -- statements
 
-    def execute(self, text: str) -> Result:
+    def execute(self, text: str, noflush: bool = False, unbuffered: bool = False) -> Result:
+        """``noflush``: what an INSERT or DELETE writes stays with a mutator, whose number comes back.
+
+        ``unbuffered``: a SELECT gives a scanner's number instead of its cells.  Other statements
+        don't heed them: loads commit whole frames, and reads INTO FILE hold nothing.
+        """
         statement = parse(text)
+        if noflush and isinstance(statement, st.Insert | st.Delete):
+            number = self.open_mutator(statement.table)
+            self._mutator(number).hold(self._rows(statement))
+            return Result(mutator=number)
+        if unbuffered and isinstance(statement, st.Select) and not statement.into:
+            return Result(scanner=self.open_scanner(self.scan(statement.table, statement.spec)))
         kind = type(statement).__name__
         return getattr(self, f"_{kind}")(statement)
 
@@ -90,14 +102,20 @@ class Session:
             return Result(cells=cells)
         return Result(cells=cells, rendered=lines)
 
+    def _rows(self, s: st.Insert | st.Delete) -> list[tuple]:
+        schema = self.store.table(s.table).schema
+        if isinstance(s, st.Insert):
+            return [mutate.insert(schema, row, column, value, ts) for ts, row, column, value in s.values]
+        # a marker hides what is older than it; one more nanosecond takes the given time in
+        ts = None if s.ts is None else s.ts + 1
+        return [mutate.marker(schema, s.row, c, ts) for c in s.columns or (None,)]
+
     def _Insert(self, s: st.Insert) -> Result:
-        table = self.store.table(s.table)
-        self.put(s.table, [mutate.insert(table.schema, row, column, value, ts) for ts, row, column, value in s.values])
+        self.put(s.table, self._rows(s))
         return Result()
 
     def _Delete(self, s: st.Delete) -> Result:
-        # a marker hides what is older than it; one more nanosecond takes the given time in
-        self.delete(s.table, s.row, s.columns, None if s.ts is None else s.ts + 1)
+        self.put(s.table, self._rows(s))
         return Result()
 
     def _CreateTable(self, s: st.CreateTable) -> Result:
@@ -296,7 +314,6 @@ class Session:
         yield m
         m.flush()
 
-
     def open_mutator(self, name: str, flush_cells: int = 10_000) -> int:
         """A mutator that is named by a number, for callers that can't hold one; close it."""
         self._next_mutator += 1
@@ -356,10 +373,10 @@ class Mutator:
         self.failed: list[tuple[tuple, str]] = []
 
     def set(self, row: str, column: str, value: str | bytes, ts: int | None = None) -> None:
-        self._hold(mutate.insert(self.schema, row, column, value, ts))
+        self.hold([mutate.insert(self.schema, row, column, value, ts)])
 
     def set_delete(self, row: str, column: str | None = None, ts: int | None = None) -> None:
-        self._hold(mutate.marker(self.schema, row, column, ts))
+        self.hold([mutate.marker(self.schema, row, column, ts)])
 
     def set_cells(self, cells: list[tuple]) -> None:
         """Array form: ``(row[, family[, qualifier[, value[, time[, revision[, flag]]]]]])`` as strings.
@@ -384,8 +401,9 @@ class Mutator:
             else:
                 raise BadKey(f"no such flag: {kind}")
 
-    def _hold(self, cell: tuple) -> None:
-        self.held.append(cell)
+    def hold(self, cells: list[tuple]) -> None:
+        """Buffer cells made by ``mutate.insert`` and ``mutate.marker``; commits when full."""
+        self.held += cells
         if len(self.held) >= self.size:
             self.flush()
 

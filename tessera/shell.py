@@ -55,16 +55,21 @@ class Shell:
         return True
 
     def statement(self, text: str) -> None:
-        began = time.time()
+        began, found = time.time(), None
         if self.test_mode:
             self.say(f"{text};")
         try:
-            for line in self.session.execute(text).text():
+            result = self.session.execute(text)
+            told = result.text()
+            for line in told:
                 self.say(line)
+            if result.rendered is not None:
+                found = len(told) - len(result.lines), sum(map(len, told))
         except TableError as e:
             self.say(f"Error: {e}")
         if not self.test_mode:
-            self.say(f"  {time.time() - began:.2f} s")
+            took = time.time() - began
+            self.say(f"  {took:.2f} s" + (f", {found[0]} cells, {found[1]} characters, {found[0] / max(took, 1e-9):.0f} cells/s" if found else ""))
 
 
 def main(args: list[str]) -> int:

@@ -321,3 +321,17 @@ def test_long_reports_say_how_many(s, tmp_path):
     s.execute("CREATE TABLE t (c)")
     report = s.execute(f"LOAD DATA INFILE '{tmp_path}/bad' INTO TABLE t")
     assert len(report.lines) == 101 and report.lines[-1] == "130 lines were left out" and report.rejected.count() == 130
+
+
+def test_statements_left_to_mutators_and_scanners(s):
+    s.execute("CREATE TABLE t (f)")
+    m = s.execute("INSERT INTO t VALUES ('r1', 'f', 'x'), ('r2', 'f:q', 'y')", noflush=True).mutator
+    assert s.execute("SELECT * FROM t").text() == []
+    s.flush_mutator(m)
+    scanner = s.execute("SELECT * FROM t", unbuffered=True).scanner
+    assert [c.row for c in s.next_cells(scanner)] == ["r1", "r2"] and s.next_cells(scanner) == []
+    gone = s.execute("DELETE f FROM t WHERE ROW = 'r1'", noflush=True).mutator
+    s.close_mutator(gone, flush=False)  # what it held is lost
+    assert len(s.execute("SELECT * FROM t").text()) == 2
+    s.close_mutator(s.execute("DELETE f FROM t WHERE ROW = 'r1'", noflush=True).mutator)
+    assert [x.split("\t")[0] for x in s.execute("SELECT * FROM t").text()] == ["r2"]
