@@ -58,9 +58,22 @@ def lines(spark: SparkSession, texts) -> DataFrame:
 
 
 def numbered(spark: SparkSession, file: str) -> DataFrame:
-    """A file's lines with their numbers, to hold an order against SQL's."""
-    read = spark.read.text(file).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    return read.select((F.row_number().over(Window.orderBy("at")) - 1).alias("n"), "line")
+    """Lines of a file, or of a folder's parts by their names, with their numbers, to hold an order against SQL's.
+
+    Spark reads the largest parts first, so a line's place is its part's name, its split's begin
+    and its place in the split.  That is written aside once, as the next pass may split
+    otherwise; the splits' counts make it a number without gaps.
+    """
+    aside, split = f"{file}-read-{uuid.uuid4().hex}", ["file_name", "file_block_start"]
+    place = F.monotonically_increasing_id().alias("at")
+    read = spark.read.text(file).select(*[f"_metadata.{c}" for c in split], place, F.col("value").alias("line"))
+    read.write.parquet(aside)
+    rows = spark.read.schema(read.schema).parquet(aside)
+    splits = rows.groupBy(*split).agg(F.min("at").alias("first"), F.count("*").alias("held"))
+    # a row a split
+    earlier = Window.orderBy(F.length("file_name"), *split).rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select(*split, (F.coalesce(F.sum("held").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(F.broadcast(begins), split).select((F.col("at") + F.col("shift")).cast("int").alias("n"), "line")
 
 
 def values(*texts: str) -> str:
